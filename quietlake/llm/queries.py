@@ -7,13 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, decontam, exact_dedup, langid, mixing, near_dup, secret_scan, token_output, url_filter
+from . import common, decontam, exact_dedup, html_text, langid, mixing, near_dup, secret_scan, token_output, toxicity, url_filter
 
 
 def op1_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_output.token_output(common.table(spark, sf_dir, "documents"))
 
 
+def op2_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(common.table(spark, sf_dir, "pages")).select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
+
+
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontam.decontaminate(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "benchmark"))
     ids = F.array_join(F.array_sort(F.transform("items", lambda x: x.cast("string"))), ",")
@@ -35,6 +39,12 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_plan(common.table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, held = common.table(spark, sf_dir, "documents"), langid.crc_class(5) == 0
+    model = toxicity.train(docs, common.table(spark, sf_dir, "labels").filter(~held))
+    return toxicity.score_toxicity(docs, model).select("doc_id", held.alias("held_out"), "score", "predicted")
+
+
 def op8_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(common.table(spark, sf_dir, "documents"))
 
@@ -48,7 +58,7 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_output, op3_decontamination, op4_language_id, op5_url_filter, op6_mixing, op8_ngram_jaccard, op9_exact_dedup, op10_secret_scan)}
+    return {f.__name__: f for f in (op1_token_output, op2_html_text, op3_decontamination, op4_language_id, op5_url_filter, op6_mixing, op7_toxicity, op8_ngram_jaccard, op9_exact_dedup, op10_secret_scan)}
 
 
 def oracle_sql() -> dict[str, str]:
