@@ -163,7 +163,7 @@ CORPUS: tuple[tuple[str, bool, str], ...] = (
     ("R1", False, "SELECT * FROM parquet.`/data/events`"),
     ("R1", False, "SELECT count(*) AS n FROM csv.`s3a://bucket/x`"),
     ("R1", False, "SELECT * FROM range(5)"),
-    ("R1", False, "SELECT * FROM unknown_relation"),
+    ("R2", False, "SELECT * FROM unknown_relation"),
     ("R2", False, "SELECT value FROM events"),
     ("R2", False, "SELECT * FROM events"),
     ("R3", False, "SELECT count(*) AS n FROM customer WHERE c_name = 'x'"),
