@@ -14,9 +14,11 @@ at most (1 - t) / (1 + t) * (|A| + |B|). Two sketches are used:
 
 All pairs that pass are verified on the whole texts. Equal sets are one node from the start.
 Large groups are not expanded into pairs: rounds of stars (each node against one hub it shares
-most keys with) join most of a group; after them only pairs of nodes in different components
-that share a key are left, and every one of those is verified. So no link between components is
-lost, and no pair within one is needed.
+most keys with) join most of a group, and rounds of nearest partners (each node that is not in
+its keys' largest component against the likeliest of some sampled nodes, by sketch) most of the
+rest; after them only pairs of nodes in different components that share a key are left, and
+every one of those is verified. So no link between components is lost, and no pair within one is
+needed.
 """
 
 from __future__ import annotations
@@ -41,7 +43,9 @@ SKETCH_BITS = 1024
 HOT_SAMPLE, HOT_COUNT, HOT_MOST = 8, 4, 200_000
 #: Keys of common shingles alone are dealt to so many tasks.
 SALTS = 16
-STAR_ROUNDS = 3
+STAR_ROUNDS, NEAREST_ROUNDS = 2, 2
+#: Nodes of a key's largest component, and of its others, among which a nearest partner is sought.
+NEAREST_SAMPLE = 64
 #: Tables of ids up to so many rows are sent to all executors; larger ones are joined by a shuffle.
 BROADCAST_ROWS = 2_000_000
 #: Below this size each shingle is its own segment.
@@ -251,10 +255,12 @@ def _cross(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for a, b in zip(first.tolist(), end.tolist(), strict=True):
         if b - a < 2 or (comp[a:b] == comp[a]).all():
             continue
+        kinds, size = np.unique(comp[a:b], return_counts=True)
+        inside = comp[a:b] == kinds[size.argmax()]
         left, right = [], []
-        for i in range(a, b - 1):
-            j = np.arange(i + 1, b)
-            j = j[(comp[j] != comp[i]) & (DEN * np.minimum(n[j], n[i]) >= NUM * np.maximum(n[j], n[i]))]
+        for i in (a + np.flatnonzero(~inside)).tolist():
+            j = np.arange(a, b)
+            j = j[(comp[j] != comp[i]) & (inside | (j > i)) & (DEN * np.minimum(n[j], n[i]) >= NUM * np.maximum(n[j], n[i]))]
             if len(j):
                 apart = np.bitwise_count((bits[j] ^ bits[i]).view(np.uint64)).sum(1, dtype=np.int64)
                 j = j[(DEN + NUM) * apart <= (DEN - NUM) * (n[j] + n[i])]
@@ -268,6 +274,48 @@ def _cross(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in new], pa.int64()), pa.array([p[1] for p in new], pa.int64())], names=["a", "b"])
 
 
+def _some(at: np.ndarray, node: np.ndarray, key: np.ndarray) -> np.ndarray:
+    """At most NEAREST_SAMPLE of the places, by a hash of node and key."""
+    if len(at) <= NEAREST_SAMPLE:
+        return at
+    rank = mix(node[at].view(np.uint64) ^ mix(key[at].view(np.uint64)))
+    return at[np.argpartition(rank, NEAREST_SAMPLE)[:NEAREST_SAMPLE]]
+
+
+def _nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For nodes outside their key's largest component the partner with the closest sketch, in that component if any passes."""
+    if (got := _runs(batches)) is None:
+        return
+    t, first, end = got
+    key, node, comp, n = (t.column(c).to_numpy() for c in ("key", "node", "comp", "n"))
+    bits = t.column("sketch").combine_chunks().flatten().to_numpy().reshape(len(node), -1)
+    found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    for a, b in zip(first.tolist(), end.tolist(), strict=True):
+        kinds, size = np.unique(comp[a:b], return_counts=True)
+        if len(kinds) < 2:
+            continue
+        largest = kinds[size.argmax()]
+        all_ = np.arange(a, b)
+        out = all_[comp[a:b] != largest]
+        hubs = np.concatenate([_some(all_[comp[a:b] == largest], node, key), _some(out, node, key)])
+        for k in range(0, len(out), 512):
+            o = out[k : k + 512]
+            apart = np.bitwise_count((bits[o][:, None, :] ^ bits[hubs][None, :, :]).view(np.uint64)).sum(2, dtype=np.int64)
+            x, y = n[o][:, None], n[hubs][None, :]
+            ok = (comp[o][:, None] != comp[hubs][None, :]) & (DEN * np.minimum(x, y) >= NUM * np.maximum(x, y)) & ((DEN + NUM) * apart <= (DEN - NUM) * (x + y))
+            score = np.where(ok, apart + np.where(comp[hubs] == largest, 0, 1 << 20)[None, :], 1 << 40)
+            best = score.argmin(1)
+            least = score[np.arange(len(o)), best]
+            live = least < 1 << 40
+            found.append((node[o][live], least[live], node[hubs[best]][live]))
+    if found:
+        who, score, hub = (np.concatenate(x) for x in zip(*found, strict=True))
+        order = np.lexsort((hub, score, who))
+        who, score, hub = who[order], score[order], hub[order]
+        new = np.concatenate([[True], who[1:] != who[:-1]]) if len(who) else np.zeros(0, bool)
+        yield pa.RecordBatch.from_arrays([pa.array(who[new]), pa.array(score[new]), pa.array(hub[new])], names=["node", "score", "hub"])
+
+
 def _bounded(df: DataFrame) -> DataFrame:
     """``df``, which must be stored, to be sent to all executors if it has few rows."""
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
@@ -335,22 +383,28 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     spread = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     groups = common.stored(dealt.select("key", "node", salt.alias("salt")).repartition(spread, "key", "salt").select("key", "node").mapInArrow(_groups, "key long, node long"), "near-groups")
     links, tried, comps = None, None, None
-    for step in range(STAR_ROUNDS + 1):
+    last = STAR_ROUNDS + NEAREST_ROUNDS
+    for step in range(last + 1):
         rows = groups.withColumn("comp", F.col("node")) if comps is None else groups.join(comps, "node", "left").select("key", "node", F.coalesce("comp", "node").alias("comp"))
         order = F.xxhash64("node", F.lit(step)) if step else F.col("node")
         tops = rows.groupBy("key").agg(F.min(F.struct(order.alias("o"), F.col("node").alias("hub"), F.col("comp").alias("hub_comp"))).alias("top"), F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low <> high").select("key", "top.hub", "top.hub_comp")
         rows = rows.join(tops, "key")
+        pair = lambda a, b: (F.least(a, b).alias("a"), F.greatest(a, b).alias("b"))
         if step < STAR_ROUNDS:
             shared = rows.filter("comp <> hub_comp").groupBy("node", "hub").agg(F.count(F.lit(1)).alias("c"))
-            pairs = shared.groupBy("node").agg(F.max(F.struct("c", "hub")).alias("m")).select(F.least("node", "m.hub").alias("a"), F.greatest("node", "m.hub").alias("b")).distinct()
+            pairs = shared.groupBy("node").agg(F.max(F.struct("c", "hub")).alias("m")).select(*pair("node", "m.hub")).distinct()
         else:
-            left = rows.select("key", "node", "comp").join(nodes.select("node", "n", "sketch"), "node")
-            pairs = left.select("key", "node", "comp", "n", "sketch").repartition(spread, "key").mapInArrow(_cross, "a long, b long").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+            left = rows.select("key", "node", "comp").join(nodes.select("node", "n", "sketch"), "node").select("key", "node", "comp", "n", "sketch").repartition(spread, "key")
+            if step < last:
+                near = left.mapInArrow(_nearest, "node long, score long, hub long")
+                pairs = near.groupBy("node").agg(F.min(F.struct("score", "hub")).alias("m")).select(*pair("node", "m.hub")).distinct()
+            else:
+                pairs = left.mapInArrow(_cross, "a long, b long").select(*pair("a", "b")).distinct()
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
         pairs = common.stored(pairs, "near-pairs")
         if pairs.isEmpty():
-            if step == STAR_ROUNDS or step == 0:
+            if step in (0, last):
                 break
             continue
         tried = pairs if tried is None else tried.union(pairs)
