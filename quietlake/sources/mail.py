@@ -44,6 +44,11 @@ def redact_text(text: str, report: MailReport) -> str:
     for kind, p in _MAIL:
         text, n = p.subn(lambda m, k=kind: m[1] + LABEL.format(k), text)
         report.identifiers[kind] += n
+    return redact_lines(text, report)
+
+
+def redact_lines(text: str, report: MailReport) -> str:
+    """The general patterns, line by line."""
     out = []
     for line in text.splitlines(keepends=True):
         for kind, p in _PLAIN:
