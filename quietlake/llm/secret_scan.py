@@ -44,14 +44,14 @@ def dense(s: str, threshold: float, window: int = WINDOW) -> tuple[int, int] | N
     total, first, last = 0.0, None, None
     full = window * (math.log2(window) - threshold)  # sum of c log c may be that large
     for i, c in enumerate(s):
-        n = counts.get(c, 0)
-        counts[c] = n + 1
-        total += _LOG[n + 1] - _LOG[n]
         if i >= window:
             out = s[i - window]
             n = counts[out]
             counts[out] = n - 1
             total += _LOG[n - 1] - _LOG[n]
+        n = counts.get(c, 0)
+        counts[c] = n + 1
+        total += _LOG[n + 1] - _LOG[n]
         if i >= window - 1 and total <= full + 1e-9:
             first, last = (i - window + 1 if first is None else first), i + 1
     return None if first is None else (first, last)
