@@ -31,12 +31,12 @@ CLOSES = {"li": frozenset(["li"]), "dt": frozenset(["dt", "dd"]), "dd": frozense
 SCOPE = frozenset("ul ol dl table html body div article section main nav aside header footer form menu".split())
 
 #: Weights of the classifier in bits; positive is content.
-TAG_WEIGHT = {"article": 4.0, "main": 3.0, "nav": -12.0, "aside": -10.0, "footer": -10.0, "form": -10.0, "menu": -10.0, "dialog": -10.0, "search": -10.0, "header": -8.0}
-ROLE_WEIGHT = {"main": 3.0, "article": 3.0, "navigation": -12.0, "banner": -10.0, "contentinfo": -10.0, "complementary": -10.0, "search": -10.0, "dialog": -10.0, "alert": -10.0, "alertdialog": -10.0, "form": -10.0, "menu": -10.0, "menubar": -10.0, "status": -10.0}
+TAG_WEIGHT = {"article": 4.0, "main": 3.0, "nav": -30.0, "aside": -30.0, "footer": -30.0, "form": -30.0, "menu": -30.0, "dialog": -30.0, "search": -30.0, "header": -30.0}
+ROLE_WEIGHT = {"main": 3.0, "article": 3.0, "navigation": -30.0, "banner": -30.0, "contentinfo": -30.0, "complementary": -30.0, "search": -30.0, "dialog": -30.0, "alert": -30.0, "alertdialog": -30.0, "form": -30.0, "menu": -30.0, "menubar": -30.0, "status": -30.0}
 #: Words of class and id names.
 BAD_NAMES = frozenset("ad ads adv advert adverts advertisement advertising adbox banner promo promotion sponsor sponsored cookie cookies consent gdpr notice notices notification alert newsletter subscribe subscription signup popup modal overlay sidebar sidebars related recommended recommendations share sharing social breadcrumb breadcrumbs menu nav navbar navigation topbar footer header masthead comment comments commentlist disqus reply replies respond reactions pagination pager widget widgets toolbar login search searchbox copyright legal disclaimer toc skip skiplink hidden".split())
 GOOD_NAMES = frozenset("article content main post entry story body text prose".split())
-BAD_WEIGHT, GOOD_WEIGHT = -10.0, 2.0
+BAD_WEIGHT, GOOD_WEIGHT = -30.0, 2.0
 #: A block by itself: 80 characters of text weigh as much as an absent article.
 LENGTH_UNIT, LENGTH_MOST, BASE, LINK_WEIGHT, HEADING_WEIGHT = 80.0, 3.0, -0.3, -4.0, 1.0
 SMOOTH, SIBLING = 2.0, 0.5
@@ -80,10 +80,9 @@ def _weight(tag: str, attrs: str, parent: Node | None) -> float | None:
             w += ROLE_WEIGHT.get(value.strip().lower(), 0.0)
         elif name in ("class", "id") and tag not in ("html", "body"):
             words = {x.lower() for x in _NAME_WORD.findall(value)}
-            if words & BAD_NAMES:
-                w += BAD_WEIGHT
-            elif words & GOOD_NAMES:
-                w += GOOD_WEIGHT
+            bad, good = bool(words & BAD_NAMES), bool(words & GOOD_NAMES)
+            if bad != good:  # a "content-with-sidebar" says neither
+                w += BAD_WEIGHT if bad else GOOD_WEIGHT
     return w
 
 
@@ -214,7 +213,7 @@ def edges(found: list[Block]) -> list[tuple[int, int, float]]:
     last: dict[int, int] = {}
     for i, b in enumerate(found):
         if i:
-            out.append((i - 1, i, SMOOTH / (1 + distance(found[i - 1].at, b.at))))
+            out.append((i - 1, i, SMOOTH * 2.0 ** (2 - distance(found[i - 1].at, b.at))))
         key = id(b.at.parent if b.at.parent is not None else b.at)
         if (j := last.get(key)) is not None and j != i - 1:
             out.append((j, i, SIBLING))

@@ -65,6 +65,8 @@ class Model:
             counted.append([np.unique(grams(data, k + 1, ORDER)[here - ORDER], return_counts=True) for k in range(ORDER + 1)])
         #: tables[k]: of order k, places of (context, symbol) and of contexts, costs and escapes by language
         self.tables = []
+        if not self.langs:
+            return
         lower = lambda keys: np.full((len(keys), n_lang), 8.0)
         for k in range(ORDER + 1):
             keys = np.unique(np.concatenate([c[k][0] for c in counted]))
