@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -14,7 +16,7 @@ from pyspark.sql import types as T
 from ..shipping import ship
 
 #: Bytes of text that a Python worker splits into words at once.
-SLICE_BYTES = 1 << 21
+SLICE_BYTES = 1 << 19
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -56,6 +58,25 @@ def delete(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+#: Rows of one Arrow batch between the JVM and a worker, where the session has Spark's own default.
+BATCH_ROWS = 1000
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def prepare(spark: SparkSession) -> None:
+    """Ship the package, and bound Arrow batches of whole texts."""
+    ship(spark)
+    if spark.conf.get(_BATCH) == "10000":
+        spark.conf.set(_BATCH, str(BATCH_ROWS))
+
+
+def trim() -> None:
+    """Give a worker's free memory back; the worker stays for later tasks."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def slices(batch: pa.RecordBatch, column: str, most: int = SLICE_BYTES) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
     """Parts of a batch with about ``most`` bytes of text each, and their texts in UTF-8 (null: empty)."""
     texts = batch.column(batch.schema.get_field_index(column))
@@ -77,7 +98,7 @@ def map_text(df: DataFrame, column: str, make: Callable[[], Callable[[pa.RecordB
 
     ``make`` is called once for each task. The other columns pass through unchanged.
     """
-    ship(df.sparkSession)
+    prepare(df.sparkSession)
     schema = T.StructType([*df.schema.fields, *new])
     names = schema.names
 
@@ -87,6 +108,7 @@ def map_text(df: DataFrame, column: str, make: Callable[[], Callable[[pa.RecordB
         kinds = [to_arrow_type(f.dataType) for f in new]
         work = make()
         for batch in batches:
+            trim()
             for part, texts in slices(batch, column):
                 made = [x if isinstance(x, (pa.Array, pa.ChunkedArray)) else pa.array(x, k) for x, k in zip(work(part, texts), kinds, strict=True)]
                 yield pa.RecordBatch.from_arrays([*part.columns, *made], names=names)

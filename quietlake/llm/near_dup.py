@@ -373,7 +373,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     Other columns aren't read. An empty table gives no rows.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    common.ship(docs.sparkSession)
+    common.prepare(docs.sparkSession)
     known = docs.filter("doc_id IS NOT NULL")
     prints = common.stored(fingerprints(docs, common_shingles(known)), "near-prints", compression="lz4", **{"parquet.enable.dictionary": "false"})
     mine = prints.filter("doc_id IS NOT NULL AND node IS NOT NULL")

@@ -24,7 +24,7 @@ from . import common
 from .wordhash import Table, Words
 
 #: Words whose ids a worker remembers.
-CACHE_WORDS = 1_500_000
+CACHE_WORDS = 600_000
 END_ID = 1
 ROW_GROUP_BYTES = 32 << 20
 PAGE_BYTES = 256 << 10
@@ -174,7 +174,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_I
     ``docs`` are not read. An empty table writes files without rows.
     """
     spark = docs.sparkSession
-    common.ship(spark)
+    common.prepare(spark)
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -207,7 +207,7 @@ def token_index(spark, path: str) -> DataFrame:
     ``start`` is the number of ids of all documents before it in file order. Only one total for
     each file is brought together, never a row for each document.
     """
-    common.ship(spark)
+    common.prepare(spark)
     files = read_tokens(spark, path)
     totals = files.groupBy("part").agg(F.sum("n_tokens").alias("total")).collect()
     offsets, at = [], 0

@@ -14,7 +14,7 @@ _powers: dict[int, np.ndarray] = {}
 
 def _power(base: int, n: int) -> np.ndarray:
     if len(_powers.get(base, ())) < n:
-        a = np.full(max(n, 1 << 21), base, np.uint64)
+        a = np.full(max(n, 1 << 19), base, np.uint64)
         a[0] = 1
         _powers[base] = np.cumprod(a)
     return _powers[base][:n]
