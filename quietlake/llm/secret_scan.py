@@ -3,7 +3,8 @@
 The base kinds are regular expressions. The method looks at candidate strings (long runs of
 characters that keys are made of), slides a window over each with counts that are updated by
 one character in and one out, and reports the stretch whose entropy passes the threshold of its
-character class, unless an allow-list suppresses it.
+character class, unless an allow-list suppresses it. Candidates are judged whole and, so that a
+name, path or other key glued to a key doesn't hide it, by their parts as well.
 """
 
 from __future__ import annotations
@@ -31,10 +32,17 @@ WINDOW = 20
 #: Characters that candidates are made of, and the least entropy in bits a character of a window, by class.
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
 HEX_CLASS = re.compile(r"[0-9a-fA-F]+")
-THRESHOLDS = {"hex": 3.0, "mixed": 3.7}
+THRESHOLDS = {"hex": 3.0, "mixed": 3.7, "lower": 3.5, "upper": 3.5}
 #: Candidates that aren't secrets: identifiers of digits only, repeated units, UUIDs, paths and dated names.
 ALLOW = (re.compile(r"[0-9]+"), re.compile(r"(.{1,8}?)\1+.{0,8}", re.S), re.compile(r"[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}"), re.compile(r"(?:[A-Za-z]+[/_=-]+)+[A-Za-z]*[0-9]{0,4}"))
 
+#: Parts of a candidate, and their parts: what stands between '=', '/' and '+', and unbroken letters and digits.
+PART, UNBROKEN = re.compile(r"[A-Za-z0-9_-]{20,}"), re.compile(r"[A-Za-z0-9]{20,}")
+#: Not looked at within a candidate.
+UUID = re.compile(r"(?<![A-Za-z0-9])[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}(?![A-Za-z0-9])")
+#: Parts that aren't secrets, besides: words and numbers, words with a number after or a number with an ending (mp3, 10th).
+NAMES = re.compile(r"[_-]*(?:[A-Za-z]+[0-9]{0,4}|[0-9]+[A-Za-z]{0,2})(?:[_-]+(?:[A-Za-z]+[0-9]{0,4}|[0-9]+[A-Za-z]{0,2}))*[_-]*")
+
 _LOG = [0.0, *(i * math.log2(i) for i in range(1, WINDOW + 1))]
 
 
@@ -58,21 +66,46 @@ def dense(s: str, threshold: float, window: int = WINDOW) -> tuple[int, int] | N
 
 
 def char_class(s: str) -> str | None:
-    """hex: hex digits in one case with both letters and digits; mixed: lower, upper and digits; else none."""
+    """hex: hex digits in one case with both letters and digits; mixed: lower, upper and 2 digits or more; lower, upper: letters of that case alone and 2 digits or more; else none."""
     if HEX_CLASS.fullmatch(s):
         letters = re.sub("[0-9]", "", s)
-        return "hex" if letters and len(letters) < len(s) and (letters.islower() or letters.isupper()) else None
-    if re.search("[a-z]", s) and re.search("[A-Z]", s) and len(re.findall("[0-9]", s)) >= 2:
-        return "mixed"
-    return None
+        if not letters or len(letters) == len(s):
+            return None
+        if letters.islower() or letters.isupper():
+            return "hex"
+    if len(re.findall("[0-9]", s)) < 2:
+        return None
+    lower, upper = re.search("[a-z]", s), re.search("[A-Z]", s)
+    return "mixed" if lower and upper else "lower" if lower else "upper" if upper else None
+
+
+def _parts(s: str) -> list[tuple[int, str]]:
+    """Places and texts of what is judged besides the whole candidate."""
+    out = []
+    for m in PART.finditer(UUID.sub(lambda u: "=" * len(u[0]), s)):
+        out.append((m.start(), m[0]))
+        out += [(m.start() + x.start(), x[0]) for x in UNBROKEN.finditer(m[0]) if len(x[0]) < len(m[0])]
+    return out
 
 
 def entropy_spans(text: str) -> list[tuple[int, int]]:
-    out = []
+    out: list[tuple[int, int]] = []
     for m in CANDIDATE.finditer(text):
         s = m[0]
-        if (kind := char_class(s)) and not any(a.fullmatch(s) for a in ALLOW) and (d := dense(s, THRESHOLDS[kind])):
-            out.append((m.start() + d[0], m.start() + d[1]))
+        if not re.search("[0-9]", s):
+            continue
+        found = []
+        if (kind := char_class(s)) in ("hex", "mixed") and not any(a.fullmatch(s) for a in ALLOW) and (d := dense(s, THRESHOLDS[kind])):
+            found.append((m.start() + d[0], m.start() + d[1]))
+        for i, x in _parts(s):  # windows of the mixed class are the whole candidate's
+            if (kind := char_class(x)) in ("hex", "lower", "upper") and not any(a.fullmatch(x) for a in (ALLOW if kind == "hex" else (*ALLOW, NAMES))) and (d := dense(x, THRESHOLDS[kind])):
+                found.append((m.start() + i + d[0], m.start() + i + d[1]))
+        first = len(out)
+        for a, b in sorted(found):
+            if len(out) > first and a < out[-1][1]:
+                out[-1] = out[-1][0], max(out[-1][1], b)
+            else:
+                out.append((a, b))
     return out
 
 

@@ -207,3 +207,20 @@ def test_secrets(spark):
     assert got[32]["spans"].startswith("assign:0:") and got[32]["spans"].count(":") == 2
     assert got[34]["n_hex"] == 1 and got[1]["spans"] == ""
     assert secret_scan.scan_secrets(frame(spark, [])).count() == 0
+
+
+@pytest.mark.parametrize(
+    ("text", "key"),
+    [(f"{a}{k}{b}", k) for k in ("k7m3x9q2w8n5p1r6t4v0z", "KQ7M3X9Q2W8N5P1R6T4V", "9f86d081884c7d659a2feaa0c5", "k7m3x-9q2w8-n5p1r-6t4v0") for a, b in (("", ""), ("id=", "/x"), ("/v1/", ""), ("Id=", "+é"))]
+    + [("sk-k7m3x9q2w8n5p1r6t4v0z8b2", "k7m3x9q2w8n5p1r6t4v0z8b2"), ("Key_k7m3x9q2w8n5p1r6t4v0z", "k7m3x9q2w8n5p1r6t4v0z")],
+)
+def test_classes_of_parts(text, key):
+    """One span that has the whole key, whatever is glued to it."""
+    (a, b), = secret_scan.entropy_spans(text)
+    assert a <= text.index(key) and text.index(key) + len(key) <= b
+    assert secret_scan.scan(f"see {text} there".encode())[4] == f"entropy:{4 + a}:{4 + b}"
+
+
+@pytest.mark.parametrize("text", ["id=550e8400-e29b-41d4-a716-446655440000/x", "top-10-mp3-players-of-2024-reviewed-by-our-3-experts", "/2024/01/15/an-ordinary-article-about-gardens/page2", "internationalization2024", "id=12345678901234567890123", "x=abcdefghijabcdefghij12"])
+def test_names_are_not_secrets(text):
+    assert secret_scan.entropy_spans(text) == []
