@@ -185,20 +185,20 @@ FINGERPRINT = [T.StructField("n", T.LongType(), False), T.StructField("node", T.
 
 
 def fingerprints(docs: DataFrame, hot: np.ndarray) -> DataFrame:
-    """doc_id, n, node and, where a task first meets a node, its sketch and keys."""
+    """doc_id, n, node and, where a task first meets a node in a row with an id, its sketch and keys."""
     sent, key = docs.sparkSession.sparkContext.broadcast(hot), uuid.uuid4().hex
 
     def make():
         table = _hot_table(key, sent)
         seen: set[int] = set()
 
-        def work(_: pa.RecordBatch, texts: list[bytes]) -> list:
+        def work(part: pa.RecordBatch, texts: list[bytes]) -> list:
             n, node, bits, sigs = [], [], [], []
-            for u in sets(texts):
+            for known, u in zip(part.column("doc_id").is_valid().to_pylist(), sets(texts), strict=True):
                 n.append(len(u))
                 x = node_id(u) if len(u) else None
                 node.append(x)
-                if x is None or x in seen:
+                if not known or x is None or x in seen:
                     bits.append(None)
                     sigs.append(None)
                     continue

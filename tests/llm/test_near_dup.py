@@ -122,6 +122,16 @@ def test_one_of_each(spark):
     assert {r["doc_id"] for r in left.collect()} == {d for d, _, c in brute(rows) if d == c}
 
 
+def test_null_ids_take_no_links(spark):
+    """A row without an id comes first in its task, with the text of one that has an id and a near copy."""
+    words = [f"w{i}" for i in range(80)]
+    text, near = " ".join(words), " ".join([*words[:-1], "other"])
+    rows = [(None, text, None, None), (5, text, None, None), (6, near, None, None)]
+    df = frame(spark, rows).coalesce(1)
+    assert sorted(map(tuple, near_dup.near_duplicates(df).collect()), key=repr) == brute(rows)
+    assert {r["doc_id"] for r in near_dup.one_of_each(df).collect()} == {None, 5}
+
+
 def test_empty(spark):
     assert near_dup.near_duplicates(frame(spark, [])).count() == 0
     assert [tuple(r) for r in near_dup.near_duplicates(frame(spark, [(1, None, None, None)])).collect()] == [(1, 0, 1)]
