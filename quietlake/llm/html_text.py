@@ -22,6 +22,8 @@ from . import common
 
 #: Elements whose content is never text.
 SKIP = frozenset("script style noscript template head title svg math iframe object select option textarea button canvas audio video datalist".split())
+#: Those whose content isn't markup and ends at their own end tag alone.
+RAW = frozenset("script style textarea title iframe".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements that begin and end a block.
 BLOCK = frozenset("html body main article section nav aside header footer div p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table caption thead tbody tfoot tr td th form fieldset blockquote pre figure figcaption address details summary dialog hr menu search legend center".split())
@@ -55,6 +57,7 @@ class Node:
     weight: float
     in_article: bool
     link: bool
+    hidden: bool = False
 
 
 @dataclass(slots=True)
@@ -93,19 +96,19 @@ def blocks(page: str) -> list[Block]:
     text: list[str] = []
     linked = total = 0
 
-    def flush() -> None:
+    def flush(path: list[Node]) -> None:
         nonlocal linked, total
         if total:
             s = _SPACE.sub(" ", "".join(text)).strip()
             if s:
-                at = next(n for n in reversed(stack) if n.tag in BLOCK or n.parent is None)
+                at = next(n for n in reversed(path) if not n.hidden and n.tag in BLOCK or n.parent is None)
                 out.append(_block(s, at, linked / total))
         text.clear()
         linked = total = 0
 
     def add(raw: str) -> None:
         nonlocal linked, total
-        if raw:
+        if raw and not stack[-1].hidden:
             s = html.unescape(raw)
             text.append(s)
             if n := len(s.strip()):
@@ -133,40 +136,40 @@ def blocks(page: str) -> list[Block]:
             continue
         closing, attrs = m[2] or m[5], m[4] or m[7] or ""
         if closing:
-            if tag in BLOCK or tag == "body":
-                flush()
-            if any(n.tag == tag for n in stack[1:]):
-                while stack.pop().tag != tag:
+            own = next((n for n in reversed(stack[1:]) if n.tag == tag), None)
+            if (tag in BLOCK or tag == "body") and not (own or stack[-1]).hidden:
+                flush(stack)
+            if own:
+                while stack.pop() is not own:
                     pass
-            elif tag in BLOCK:
-                pass
             continue
         if tag == "br":
-            text.append(" ")
+            if not stack[-1].hidden:
+                text.append(" ")
             continue
         if tag in BLOCK:
-            flush()
+            path = stack[:]
             if tag in CLOSES:
                 _close(stack, CLOSES[tag])
             if any(n.tag == "p" for n in stack[-6:]):
                 _close(stack, frozenset(["p"]))
+            if not stack[-1].hidden:
+                flush(path)
         if tag in VOID or attrs.endswith("/") and tag not in BLOCK:
             continue
         parent = stack[-1]
         w = _weight(tag, attrs, parent)
-        if w is None or tag in SKIP and tag != "head":
-            if tag in SKIP and not attrs.endswith("/"):
-                skip = tag
-            elif w is None:
-                pos = _after(page, pos, tag)
+        if tag in RAW:
+            skip = tag
             continue
         if tag == "head":
             # up to its end tag or the body
             b = re.compile(r"</head\s*>|(?=<body[\s>])", re.I).search(page, pos)
             pos = b.end() if b else pos
             continue
-        stack.append(Node(tag, parent, parent.depth + 1, parent.weight + w, parent.in_article or tag in ("article", "main"), parent.link or tag == "a"))
-    flush()
+        hidden = parent.hidden or w is None or tag in SKIP
+        stack.append(Node(tag, parent, parent.depth + 1, parent.weight + (w or 0.0), parent.in_article or tag in ("article", "main"), parent.link or tag == "a", hidden))
+    flush(stack)
     return out
 
 
@@ -175,20 +178,10 @@ def _close(stack: list[Node], tags: frozenset[str]) -> None:
         if stack[i].tag in tags:
             del stack[i:]
             return
-        if stack[i].tag in SCOPE:
+        if stack[i].tag in SCOPE or stack[i].tag in SKIP:
             return
 
 
-def _after(page: str, pos: int, tag: str) -> int:
-    """The place after the end of a hidden element that began before ``pos``."""
-    depth = 1
-    for m in re.compile(rf"<(/?){re.escape(tag)}(?=[\s/>])[^>]*>", re.I).finditer(page, pos):
-        depth += -1 if m[1] else 1
-        if not depth:
-            return m.end()
-    return len(page)
-
-
 def _block(s: str, at: Node, link_share: float) -> Block:
     w = BASE + min(LENGTH_MOST, len(s) / LENGTH_UNIT) + LINK_WEIGHT * link_share + at.weight
     if re.fullmatch("h[1-6]", at.tag):

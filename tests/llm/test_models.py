@@ -195,3 +195,8 @@ def test_all_pages_by_their_articles(spark, sf_dir):
         inner = re.search(r"<article>(.*?)(?:</article>|<footer)", r["html"], re.S)[1]
         blocks = [" ".join(html.unescape(re.sub(r"<[^>]*>", "", x.replace("<br>", " "))).split()) for x in re.split(r"</?(?:p|h1)>", inner)]
         assert r["text"] == "\n".join(b for b in blocks if b) and r["n_chars"] == len(r["text"])
+
+
+@pytest.mark.parametrize("page", ["<body><p hidden>note<p>article text</body>", "<ul><li style='display:none'>note<li>article text</ul>", "<div><button>note</div><p>article text</p>", "<div>article <span hidden>note<div>note</div></span>text</div>", "<div><p>article text<span hidden>note</div>"])
+def test_hidden_elements_end_where_html_ends_them(page):
+    assert [b.text for b in html_text.blocks(page)] == ["article text"]
