@@ -12,8 +12,8 @@ from .operators import profile
 from .operators.audit import AuditLog
 from .operators.broker import ALLOWED, DENIED, Broker, Denied, OverCeiling, QueryFailed
 from .operators.suppress import Refused
-from .plans.policy import Policy
-from .sources import blobs, catalog, mail, sinks
+from .plans.policy import Policy, Settings
+from .sources import blobs, catalog, git, mail, sinks
 
 
 def parser() -> argparse.ArgumentParser:
@@ -29,13 +29,17 @@ def parser() -> argparse.ArgumentParser:
     s.add_argument("--check", action="store_true", help="exit 1 on any finding; write nothing")
     s.add_argument("--in-place", action="store_true")
     s = sub.add_parser("scan")
-    s.add_argument("path")
+    s.add_argument("path", help="a folder; with --git a repository")
+    s.add_argument("--git", help="scan blobs of the repository: staged, all, or a range of commits")
+    s.add_argument("--strict", action="store_true", help="what can't be read blocks, whatever is allowed")
     s.add_argument("--ignore", action="append", default=[])
     s.add_argument("--allow-unscannable", action="store_true")
     sub.add_parser("schema").add_argument("pattern")
     s = sub.add_parser("refresh")
     s.add_argument("--stats", action="store_true")
     s.add_argument("--draft-policy", action="store_true")
+    s.add_argument("--manifests", help="a folder in and below which build tools' manifests are looked for")
+    s.add_argument("--catalogs", nargs="*", help="catalogs whose relations are indexed; one that can't be read is skipped")
     sub.add_parser("verify")
     return p
 
@@ -77,16 +81,26 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
         print("the log holds" if ok else f"the log breaks at line {line}")
         return int(not ok)
     if a.command == "scan":
-        texts = blobs.read_files(spark, a.path, tuple(a.ignore)).cache()
+        most = Settings.of(spark).max_blob_bytes
+        texts = (git.read_git(spark, a.path, a.git, tuple(a.ignore), most) if a.git else blobs.read_files(spark, a.path, tuple(a.ignore), most)).cache()
         hits = blobs.scan_lines(texts)
         for r in hits.orderBy("path", "line_no").toLocalIterator():
             print(f"{r['path']}:{r['line_no']}: {', '.join(r['kinds'])}")
         s = blobs.scan_summary(texts, hits).first()
         texts.unpersist()
         print(f"{s['files']} files, {s['files_with_hits']} with hits, {s['unscannable']} unscannable")
-        return int(s["files_with_hits"] > 0 or s["unscannable"] > 0 and not a.allow_unscannable)
+        return int(blobs.blocked(s["files_with_hits"], s["unscannable"], a.allow_unscannable, a.strict))
     if a.command == "refresh":
-        index = profile.merged(profile.load(index_path), profile.snapshot(spark, names or None, a.stats))
+        settings, relations = Settings.of(spark), names or None
+        if a.catalogs:
+            relations, skipped = profile.relations_of(spark, a.catalogs)
+            for c, why in skipped.items():
+                print(f"{c} skipped: {why}", file=sys.stderr)
+        written, broken = profile.from_manifests(profile.discover(a.manifests)) if a.manifests else ({}, [])
+        for p in broken:
+            print(f"{p} can't be read", file=sys.stderr)
+        live = profile.snapshot(spark, relations, a.stats, settings.profile_columns)
+        index = profile.merged({**profile.load(index_path), **written}, live)
         profile.save(index, index_path)
         if a.draft_policy:
             for r in profile.draft(spark.createDataFrame([(n,) for n in index], "relation string"), policy).orderBy("level").collect():

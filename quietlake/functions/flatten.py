@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 
 from ..shipping import ship
 
-#: Elements at whose start and end a line ends; others vanish without a trace.
+# Elements at whose start and end a line ends (others vanish without a trace), elements that go whole, gaps.
 LINE_TAGS = ("p", "div", "br", "tr", "li", "h1", "h2", "h3", "h4", "table", "blockquote")
 DROPPED = ("script", "style", "head")
 

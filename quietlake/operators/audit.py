@@ -89,15 +89,27 @@ def _last_line(path: Path) -> str:
 
 
 def log_lines(spark: SparkSession, path: str) -> DataFrame:
-    """``line_no, raw`` of a log: the file's whole text, split, so that numbers follow the file."""
-    text = spark.read.text(path, wholetext=True)
-    return text.select(F.posexplode(F.split(F.rtrim(F.col("value"), F.lit("\n")), "\n")).alias("pos", "raw")).select((F.col("pos") + 1).alias("line_no"), "raw")
+    """``line_no, raw, before`` of a log: numbers follow the file, ``before`` is the line before.
+
+    The file is read in splits. Lines are numbered within each, and only a row for each split, its
+    number of lines and its last line, is brought together to number them through.
+    """
+    at = F.col("_metadata.file_block_start")
+    rows = spark.read.option("lineSep", "\n").text(path).select(at.alias("block"), F.monotonically_increasing_id().alias("id"), F.col("value").alias("raw"))
+    own = Window.partitionBy("block").orderBy("id")
+    rows = rows.select("block", F.row_number().over(own).alias("n"), "raw", F.lag("raw").over(own).alias("prior"))
+    through = Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    splits = rows.groupBy("block").agg(F.max("n").alias("lines"), F.max_by("raw", "n").alias("last"))
+    splits = splits.select("block", F.coalesce(F.sum("lines").over(through), F.lit(0)).alias("first"), F.last("last").over(through).alias("carried"))
+    return rows.join(F.broadcast(splits), "block").select((F.col("first") + F.col("n")).cast("int").alias("line_no"), "raw", F.when(F.col("n") == 1, F.col("carried")).otherwise(F.col("prior")).alias("before"))
 
 
 def chained(lines: DataFrame, partition: str | None = None) -> DataFrame:
-    """``line_no`` and the digest that the next line must hold, by a window over line numbers."""
-    w = Window.partitionBy(partition) if partition else Window.partitionBy()
-    return lines.withColumn("expected", F.coalesce(F.sha2(F.lag("raw").over(w.orderBy("line_no")), 256), F.lit("")))
+    """``lines`` with the digest that each must hold: of ``before`` where :func:`log_lines` gave it, else of the line before within ``partition``."""
+    if partition is None:
+        return lines.withColumn("expected", F.coalesce(F.sha2("before", 256), F.lit("")))
+    w = Window.partitionBy(partition).orderBy("line_no")
+    return lines.withColumn("expected", F.coalesce(F.sha2(F.lag("raw").over(w), 256), F.lit("")))
 
 
 def verify_chain(lines: DataFrame, partition: str | None = None) -> DataFrame:

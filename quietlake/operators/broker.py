@@ -51,13 +51,15 @@ class Broker:
     """``check`` a statement, or ``run`` it. Relations are those of the session's catalog.
 
     Schemas come from the catalog when a statement is checked; ``index`` adds descriptions and counts
-    (see :mod:`profile`).
+    (see :mod:`profile`). ``recogniser`` makes a function from a text to the names of the entities in
+    it; with ``Settings.require_entity_scan`` no result leaves without one having looked at all of it.
     """
 
-    def __init__(self, spark: SparkSession, policy: Policy | None = None, settings: Settings | None = None, index: dict | None = None, audit: AuditLog | None = None, out: str | Path | None = None) -> None:
+    def __init__(self, spark: SparkSession, policy: Policy | None = None, settings: Settings | None = None, index: dict | None = None, audit: AuditLog | None = None, out: str | Path | None = None, recogniser: cellscan.Recogniser | None = None) -> None:
         self.spark, self.policy = spark, policy or Policy.default()
         self.settings = settings or Settings.of(spark)
         self.index, self.audit, self.out = index or {}, audit, Path(out) if out else None
+        self.recogniser = recogniser
 
     def _live(self, verdict: Verdict) -> dict:
         live = {}
@@ -108,14 +110,25 @@ class Broker:
         counts = suppress.count_positions(df.columns, self.policy.count_columns, verdict.count_cols, verdict.count_idx)
         keys = suppress.key_positions(df.columns, verdict.group_keys, verdict.key_idx)
         out, s = suppress.anonymize(df, self.settings.k, counts, [i for i in keys if i not in counts], self.settings.tiny_rows, self.settings.max_suppressed_share)
-        out, cells = cellscan.scan_cells(out)
+        if self.settings.require_entity_scan and self.recogniser is None:
+            raise suppress.Refused("an entity scan is required, and there is no recogniser")
+        try:
+            out, cells = cellscan.scan_cells(out, list_hits=True, recogniser=self.recogniser)
+        except (cellscan.NotLookedAt, PySparkException) as e:
+            raise suppress.Refused(f"the cells could not be looked at: {type(e).__name__}") from None
         return Governed(out, verdict, s, cells, ceiling)
 
+    def controls(self) -> dict[str, str]:
+        """Digests of what decides: the policy's lists and the settings."""
+        return {"policy_sha256": self.policy.digest(), "settings_sha256": sha256(repr(self.settings))}
+
     def _record(self, verdict: Verdict, outcome: str, code: int, got: Governed | None = None, **more) -> None:
         """Verdict, history and audit line; the result last, and a stale one removed first."""
-        doc = verdict.document() | {"outcome": outcome, "exit_code": code} | more
+        controls = self.controls()
+        changed = [] if self.audit is None else self.audit.changed("run", **controls)
+        doc = verdict.document() | {"outcome": outcome, "exit_code": code, "controls_changed": changed} | controls | more
         if got is not None:
-            doc |= {"rows": got.suppression.rows, "rows_suppressed": got.suppression.rows_suppressed, "cells_suppressed": got.suppression.cells_suppressed, "alarm": got.cells.alarm, "kinds": got.cells.kinds, "day_precision_dates": got.cells.day_precision_dates}
+            doc |= {"rows": got.suppression.rows, "rows_suppressed": got.suppression.rows_suppressed, "cells_suppressed": got.suppression.cells_suppressed, "alarm": got.cells.alarm, "kinds": got.cells.kinds, "day_precision_dates": got.cells.day_precision_dates, "entities": got.cells.entities, "hits": got.cells.hits}
         if self.out is not None:
             self.out.mkdir(parents=True, exist_ok=True)
             result = self.out / "result.csv"
@@ -130,7 +143,7 @@ class Broker:
             if got is not None:
                 write_csv(got.df, result)
         if self.audit is not None:
-            self.audit.append("run", verdict=outcome, sql=verdict.sql, sql_sha256=sha256(verdict.sql), k=self.settings.k, group_keys=sorted(verdict.group_keys), **{k: v for k, v in doc.items() if k in ("ceiling", "rows", "cells_suppressed", "alarm", "error", "why", "purpose")})
+            self.audit.append("run", verdict=outcome, sql=verdict.sql, sql_sha256=sha256(verdict.sql), k=self.settings.k, group_keys=sorted(verdict.group_keys), **controls, **{k: v for k, v in doc.items() if k in ("ceiling", "rows", "cells_suppressed", "alarm", "error", "why", "purpose", "controls_changed")})
 
     def exit_code(self, sql: str) -> int:
         """:meth:`run`, as a process's exit code."""

@@ -6,6 +6,7 @@ import json
 from collections.abc import Iterable
 from pathlib import Path
 
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -35,12 +36,30 @@ def describe(df: DataFrame) -> dict[str, dict]:
     return {f.name.lower(): {"type": f.dataType.simpleString(), "description": (f.metadata or {}).get("comment", "")} for f in df.schema.fields}
 
 
+def relations_of(spark: SparkSession, catalogs: Iterable[str]) -> tuple[list[str], dict[str, str]]:
+    """Dotted names of all relations of catalogs, and those catalogs that couldn't be read, with the reason's condition."""
+    names, skipped = [], {}
+    for c in catalogs:
+        try:
+            found = []
+            for (schema, *_) in spark.sql(f"SHOW NAMESPACES IN `{c}`").collect():
+                found += [f"{c}.{schema}.{t['tableName']}" for t in spark.sql(f"SHOW TABLES IN `{c}`.`{schema}`").collect() if not t["isTemporary"]]
+            names += found
+        except PySparkException as e:
+            skipped[c] = e.getCondition() or type(e).__name__
+    return names, skipped
+
+
 def snapshot(spark: SparkSession, relations: Iterable[str] | None = None, stats: bool = False, most_columns: int = 60) -> dict:
-    """The index of the given relations (else of the current database): live schemas, counts with ``stats``."""
+    """The index of the given relations (else of the current database): live schemas, counts with ``stats``. A relation that can't be read is left out."""
     names = list(relations) if relations is not None else [t.name for t in spark.catalog.listTables()]
     index = {}
     for name in names:
-        df = spark.table(name)
+        try:
+            df = spark.table(name)
+            df.schema  # noqa: B018  read now, so that what can't be is left out
+        except PySparkException:
+            continue
         entry: dict = {"kind": "table", "columns": describe(df)}
         if stats:
             for r in profile(df, most_columns).collect():
@@ -66,6 +85,24 @@ def from_manifest(document: dict) -> dict:
     return index
 
 
+def discover(root: str | Path, most_depth: int = 4) -> list[Path]:
+    """Manifests ``target/manifest.json`` of projects at or below ``root``, in order of their paths."""
+    top = Path(root)
+    found = {p for d in range(most_depth + 1) for p in top.glob("/".join(["*"] * d + ["target", "manifest.json"]))}
+    return sorted(found)
+
+
+def from_manifests(paths: Iterable[str | Path]) -> tuple[dict, list[str]]:
+    """The index of several manifests, later ones winning, and the files that can't be read."""
+    index, broken = {}, []
+    for p in paths:
+        try:
+            index |= from_manifest(json.loads(Path(p).read_text()))
+        except (OSError, ValueError, AttributeError):
+            broken.append(str(p))
+    return index, broken
+
+
 def merged(written: dict, live: dict) -> dict:
     """Two indexes as one: live types and counts win, written descriptions win."""
     out = {}

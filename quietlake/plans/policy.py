@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
 import re
 from collections.abc import Iterable
 from dataclasses import dataclass, field, fields
@@ -13,9 +15,8 @@ from ..functions.globs import Globs
 
 RED, AMBER, GREEN = "RED", "AMBER", "GREEN"
 ORDER = (RED, AMBER, GREEN)
-#: Names that no allow pattern opens.
+# Names that no allow pattern opens; names of dates, and those that aren't even opened by truncation; developers' schemas.
 HARD_DENY = re.compile(r"birth|dob|death|^age$|^age_|_age$")
-#: Names of dates; and those that aren't even opened by truncation.
 DATEISH = re.compile(r"(?:_date$|_dt$|_ts$|_time$|_at$|timestamp|dttm|datetime|^dos$|^dod$|death|admit|discharge|birth|dob)")
 NEVER_TRUNCATE = re.compile(r"birth|dob")
 _DEV_SCHEMA = re.compile(r"dev_[a-z0-9]+(?:__(?P<real>.+))?", re.I)
@@ -49,6 +50,10 @@ class Policy:
     def default(cls) -> Policy:
         return cls.load(Path(__file__).with_name("default_policy.yml"))
 
+    def digest(self) -> str:
+        """SHA-256 of the lists, in their order."""
+        return hashlib.sha256(json.dumps({k: getattr(self, k).patterns for k in LISTS}).encode()).hexdigest()
+
     def level(self, name: str) -> str:
         """RED, AMBER or GREEN of a dotted relation name. Whatever matches nothing is RED.
 

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import json
+import tempfile
 from collections.abc import Callable
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,7 +17,8 @@ from .functions.lines import LINE_END, lines
 from .operators import audit, cellscan, profile, suppress
 from .operators.broker import Broker
 from .plans.gate import Gate
-from .plans.policy import Policy, Settings
+from .plans.policy import HARD_DENY, Policy, Settings
+from .plans.spread import spread
 from .sources import blobs, catalog
 from .sources.mail import scrub_mail
 
@@ -34,7 +38,7 @@ POLICY = Policy.of(TABLE_POLICY)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def broker(spark: SparkSession, sf_dir: str) -> Broker:
@@ -74,8 +78,8 @@ GOVERNED: dict[str, tuple[str, str]] = {
         "SELECT CASE WHEN n BETWEEN 1 AND 10 THEN '<11' ELSE strftime(m, '%Y-%m-%d %H:%M:%S') END AS order_month, CASE WHEN n BETWEEN 1 AND 10 THEN '<11' ELSE n::VARCHAR END AS n FROM (SELECT date_trunc('month', o_orderdate) AS m, count(*) AS n FROM orders GROUP BY 1)",
     ),
     "gov_join_nation_orders": (
-        "SELECT r.r_name, count(*) AS n FROM orders o JOIN customer c ON o.o_orderkey % 1500 = c.c_nationkey JOIN nation t ON c.c_nationkey = t.n_nationkey JOIN region r ON t.n_regionkey = r.r_regionkey GROUP BY r.r_name",
-        blanked("count(*)", "r_name", "ALL", "orders o JOIN customer c ON o.o_orderkey % 1500 = c.c_nationkey JOIN nation t ON c.c_nationkey = t.n_nationkey JOIN region r ON t.n_regionkey = r.r_regionkey"),
+        "SELECT r.r_name, o.o_orderstatus, count(*) AS n FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey JOIN supplier s ON l.l_suppkey = s.s_suppkey JOIN nation t ON s.s_nationkey = t.n_nationkey JOIN region r ON t.n_regionkey = r.r_regionkey GROUP BY r.r_name, o.o_orderstatus",
+        blanked("count(*)", "r_name, o_orderstatus", "ALL", "lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey JOIN supplier s ON l.l_suppkey = s.s_suppkey JOIN nation t ON s.s_nationkey = t.n_nationkey JOIN region r ON t.n_regionkey = r.r_regionkey"),
     ),
     "gov_join_debug": (
         "SELECT count(*) AS n, count(DISTINCT l.l_orderkey) AS orders_n FROM lineitem l LEFT JOIN orders o ON l.l_orderkey = o.o_orderkey",
@@ -151,6 +155,61 @@ def broker_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(sql, b.exit_code(sql)) for _, sql in OUTCOMES], "statement string, exit_code int")
 
 
+def starts_with_a():
+    """A stub of a recogniser: names that begin with A are places."""
+    return lambda text: ["PLACE"] if text.startswith("A") else []
+
+
+#: Whether an entity scan is required, whether there is a recogniser, and the exit code.
+ENTITY_CASES = ((False, False, 0), (False, True, 0), (True, False, 4), (True, True, 0))
+
+
+def broker_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exit codes with and without a recogniser, and the cells in which it found something."""
+    catalog.files(spark, sf_dir, TABLES)
+    out, sql = [], "SELECT n_name FROM nation ORDER BY n_name"
+    for required, given, _ in ENTITY_CASES:
+        b = Broker(spark, POLICY, Settings(require_entity_scan=required), recogniser=starts_with_a if given else None)
+        code = b.exit_code(sql)
+        cells = b.run(sql).cells if code == 0 else None
+        out.append((required, given, code, ",".join(f"{r}:{c}:{'+'.join(k)}" for r, c, k in cells.hits) if cells else ""))
+    return spark.createDataFrame(out, "required boolean, given boolean, exit_code int, hits string")
+
+
+def _entities_sql() -> str:
+    found = "(SELECT string_agg(k || ':n_name:PLACE', ',' ORDER BY k) FROM (SELECT n_name, row_number() OVER (ORDER BY n_name) AS k FROM nation) WHERE n_name LIKE 'A%')"
+    return " UNION ALL ".join(f"SELECT {r} AS required, {g} AS given, {c}::INT AS exit_code, {f'coalesce({found}, {_q(chr(32).strip())})' if g and not c else _q('')} AS hits" for r, g, c in ENTITY_CASES)
+
+
+def broker_controls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a run's log says of controls that changed since the run before."""
+    catalog.files(spark, sf_dir, TABLES)
+    other = Policy.of({**TABLE_POLICY, "count_columns": ["n"]})
+    steps = ((POLICY, 11), (POLICY, 11), (other, 11), (other, 12), (POLICY, 11))
+    with tempfile.TemporaryDirectory() as home:  # the log of a broker is the driver's own
+        log, out = audit.AuditLog(f"{home}/log.jsonl"), []
+        for i, (policy, k) in enumerate(steps):
+            code = Broker(spark, policy, Settings(k=k), audit=log).exit_code("SELECT r_name FROM region")
+            out.append((i, code, ",".join(log.last_event("run")["controls_changed"])))
+    return spark.createDataFrame(out, "step int, exit_code int, changed string")
+
+
+CONTROL_ROWS = ((0, 0, ""), (1, 0, ""), (2, 0, "policy_sha256"), (3, 0, "settings_sha256"), (4, 0, "policy_sha256,settings_sha256"))
+
+
+def manifest_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Descriptions from manifests below a folder, merged with what the tables are like now."""
+    live = {f"lake.shop.{t}": {"kind": "table", "columns": profile.describe(table(spark, sf_dir, t))} for t in TABLES}
+    with tempfile.TemporaryDirectory() as home:  # projects lie where the driver runs
+        for t in TABLES[:6]:
+            node = {"resource_type": "model", "database": "lake", "schema": "shop", "name": t, "columns": {c: {"description": f"{c} of {t}"} for c in live[f"lake.shop.{t}"]["columns"]}}
+            at = Path(home, "projects", t, "target")
+            at.mkdir(parents=True)
+            (at / "manifest.json").write_text(json.dumps({"nodes": {f"model.{t}": node}}))
+        written, _ = profile.from_manifests(profile.discover(home))
+    return profile.columns_frame(spark, profile.merged(written, live)).select("relation", "column", "description")
+
+
 #: Statements over these tables, and whether the gate lets them through. Each refusal has its rule in front.
 CORPUS: tuple[tuple[str, bool, str], ...] = (
     ("R0", False, "DROP TABLE events"),
@@ -210,12 +269,12 @@ def gate_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(sql, gate.check(sql).allowed) for _, _, sql in CORPUS], "statement string, allowed boolean")
 
 
-#: Relation names, and their level under the default policy.
+#: Relation names, and their level under the default policy: each list, schemas and catalogs of developers, case, depth, no match.
 RELATIONS = (
-    ("raw.vendor.fact_visit", "RED"), ("analytics.core.encounter_fact", "RED"), ("analytics_dev.marts.patient_trajectory", "RED"), ("lake.raw.x", "RED"), ("c.s.stg_x", "RED"), ("shop.web.click_events", "RED"),
-    ("analytics.ed.ed_visits", "AMBER"), ("analytics_dev.marts.fct_orders", "AMBER"), ("analytics_dev.dev_x.agg_peek", "AMBER"), ("reporting.dev_ann.agg_x", "AMBER"), ("reporting_dev.quality.agg_x", "AMBER"), ("c.dev_ann__reporting.agg_x", "AMBER"),
-    ("reporting.quality.agg_infections_month", "GREEN"), ("reporting.targets.metric_targets", "GREEN"), ("c.s.metric_targets", "GREEN"), ("REPORTING.Quality.AGG", "GREEN"), ("c.information_schema.columns", "GREEN"),
-    ("some_new_catalog.some_schema.some_table", "RED"), ("plain_table", "RED"),
+    ("raw.till.receipts", "RED"), ("depot.raw.parcels", "RED"), ("staging.parcels", "RED"), ("depot.core.stg_parcels", "RED"), ("depot.core.base__stg_parcels", "RED"), ("depot.crm.buyers_pii", "RED"), ("analytics.web.page_events", "RED"), ("analytics.web.login_event", "RED"), ("reporting.web.page_events", "RED"), ("analytics_dev.dev_kim__raw.t", "RED"),
+    ("analytics.depot.parcels", "AMBER"), ("analytics_dev.depot.parcels", "AMBER"), ("analytics_dev.dev_kim.try1", "AMBER"), ("reporting.dev_kim.weekly", "AMBER"), ("reporting_dev.depot.weekly", "AMBER"), ("depot.dev_kim__reporting.weekly", "AMBER"),
+    ("reporting.depot.weekly", "GREEN"), ("depot.reporting.weekly", "GREEN"), ("depot.core.metric_targets", "GREEN"), ("depot.targets.q1", "GREEN"), ("Reporting.DEPOT.Weekly", "GREEN"), ("depot.information_schema.tables", "GREEN"),
+    ("depot.core.parcels", "RED"), ("parcels", "RED"), ("a.b.c.d", "RED"),
 )
 
 
@@ -223,19 +282,33 @@ def classify_relations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return profile.classified(spark.createDataFrame([(r,) for r, _ in RELATIONS], "relation string"), Policy.default())
 
 
+#: Columns that no table here has: allowed by a pattern, denied by one, and never allowed.
+PLANTED_COLUMNS = ("metric_year", "birth_year", "death_month", "age_year", "order_age", "customer_name", "n_name", "dob", "part_comment")
+
+
 def column_screen(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All columns of the tables, with the pattern that denies each."""
-    rows = [(t, f.name) for t in TABLES for f in table(spark, sf_dir, t).schema.fields]
+    """All columns of the tables, and some that none has, with the pattern that denies each, and whether a result with it is refused."""
+    rows = [(t, f.name) for t in TABLES for f in table(spark, sf_dir, t).schema.fields] + [("planted", c) for c in PLANTED_COLUMNS]
     df = spark.createDataFrame(rows, "relation string, column string")
-    allowed = POLICY.allow_columns.matches(F.col("column"))
-    return df.withColumn("denied_by", F.when(~allowed, POLICY.deny_columns.first_of(F.col("column"))))
+    name = F.lower(F.col("column"))
+    allowed = POLICY.allow_columns.matches(F.col("column")) & ~name.rlike(HARD_DENY.pattern)
+    out = df.withColumn("denied_by", F.when(~allowed, POLICY.deny_columns.first_of(F.col("column"))))
+    refused = []
+    for t, c in rows:
+        try:
+            suppress.check_columns(spark.createDataFrame([], f"`{c}` int"), POLICY)
+        except suppress.Refused:
+            refused.append((t, c, True))
+    return out.join(F.broadcast(spark.createDataFrame(refused, "relation string, column string, refused boolean")), ["relation", "column"], "left").withColumn("refused", F.coalesce("refused", F.lit(False)))
 
 
 def _column_screen_sql() -> str:
-    first = " ".join(f"WHEN column_name GLOB '{p}' THEN '{p}'" for p in TABLE_POLICY["deny_columns"])
-    allow = " OR ".join(f"column_name GLOB '{p}'" for p in TABLE_POLICY["allow_columns"])
+    first = " ".join(f"WHEN lower(column_name) GLOB '{p}' THEN '{p}'" for p in TABLE_POLICY["deny_columns"])
+    allow = " OR ".join(f"lower(column_name) GLOB '{p}'" for p in TABLE_POLICY["allow_columns"])
     names = ", ".join(f"'{t}'" for t in TABLES)
-    return f"SELECT table_name AS relation, column_name AS column, CASE WHEN {allow} THEN NULL {first} END AS denied_by FROM (SELECT table_name, column_name FROM duckdb_columns() WHERE table_name IN ({names}))"
+    planted = ", ".join(f"('planted', '{c}')" for c in PLANTED_COLUMNS)
+    never = "(lower(column_name) LIKE '%birth%' OR lower(column_name) LIKE '%dob%' OR lower(column_name) LIKE '%death%' OR lower(column_name) = 'age' OR starts_with(lower(column_name), 'age_') OR ends_with(lower(column_name), '_age'))"
+    return f"SELECT *, denied_by IS NOT NULL AS refused FROM (SELECT table_name AS relation, column_name AS column, CASE WHEN ({allow}) AND NOT {never} THEN NULL {first} END AS denied_by FROM (SELECT table_name, column_name FROM duckdb_columns() WHERE table_name IN ({names}) UNION ALL SELECT * FROM (VALUES {planted}) p(table_name, column_name)))"
 
 
 def metadata_search(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -268,6 +341,24 @@ def person_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     return profile.person_keys(profile_stats(spark, sf_dir), POLICY)
 
 
+def person_key_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether the gate lets each profiled column be a group's key, as the table's counts have it."""
+    index = {}
+    for t in PROFILED:
+        columns = profile.describe(table(spark, sf_dir, t))
+        rows = 0
+        for r in profile.profile(table(spark, sf_dir, t)).collect():
+            columns[r["column"]]["distinct_count"], rows = r["distinct_count"], r["row_count"]
+        index[t] = {"columns": columns, "row_count": rows}
+    gate = Gate(spark, Policy.of({"amber": list(PROFILED)}), index)
+    out = []
+    for t, e in index.items():
+        for c in e["columns"]:
+            v = gate.check(f"SELECT {c}, count(*) AS n FROM {t} GROUP BY {c}")
+            out.append((t, c, any(x.startswith("R14") for x in v.reasons)))
+    return spark.createDataFrame(out, 'relation string, column string, person_key boolean')
+
+
 def redact_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", redact.redact(F.col("text")).alias("text"))
 
@@ -280,13 +371,42 @@ def redact_counts_by_kind(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hits of each kind over three tables of text, each on what the earlier patterns left."""
     out = None
     for t, c in (("documents", "text"), ("conversations", "text"), ("pages", "html")):
-        hits = table(spark, sf_dir, t).select(redact.hit_counts(F.col(c)).alias("h"))
-        n = redact.kind_counts(F.col("h"))
-        one = hits.agg(*[F.sum(n[k]).alias(k) for k in n]).select(F.lit(t).alias("source_table"), F.explode(F.map_from_arrays(F.array(*[F.lit(k) for k in n]), F.array(*[F.col(k) for k in n]))).alias("kind", "hits"))
-        out = one if out is None else out.union(one)
+        out = kinds_of(table(spark, sf_dir, t), c, t) if out is None else out.union(kinds_of(table(spark, sf_dir, t), c, t))
     return out
 
 
+def kinds_of(df: DataFrame, column: str, name: str) -> DataFrame:
+    """``source_table, kind, hits`` of a column of text."""
+    n = redact.staged_kinds()
+    one = redact.staged(df.select(column).filter(F.col(column).rlike(redact.NEEDED_BY_ANY)), column).agg(*[F.coalesce(F.sum(n[k]), F.lit(0)).alias(k) for k in n])
+    return one.select(F.lit(name).alias("source_table"), F.explode(F.map_from_arrays(F.array(*[F.lit(k) for k in n]), F.array(*[F.col(k) for k in n]))).alias("kind", "hits"))
+
+
+#: Shapes of tokens that the documents lack, put behind each text; %d: an id.
+SHAPES = (" key ghp_" + "Zq7" * 9 + "x%d end", " and dapi" + "0c" * 14 + "%d,", " or lin_api_" + "Qw4" * 8 + "%d", " AKIA" + "Q7ZK" * 4 + " %d", " call 555-010-%d")
+
+
+def planted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents, each with one of the shapes behind its text by its id; one in six has none."""
+    k = F.pmod("doc_id", F.lit(len(SHAPES) + 1))
+    shape = F.element_at(F.array(*[F.lit(x) for x in (*SHAPES, "")]), (k + 1).cast("int"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.concat(F.coalesce("text", F.lit("")), F.replace(shape, F.lit("%d"), F.col("doc_id").cast("string"))).alias("text"))
+
+
+def _planted_sql() -> str:
+    shapes = ", ".join(_q(x) for x in (*SHAPES, ""))
+    return f"SELECT doc_id, coalesce(text, '') || replace(([{shapes}])[(doc_id % {len(SHAPES) + 1} + 1)::INT], '%d', doc_id::VARCHAR) AS text FROM documents"
+
+
+def token_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hits of each kind over documents with tokens of every shape."""
+    return kinds_of(planted(spark, sf_dir), "text", "planted").select("kind", "hits")
+
+
+def redact_planted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return planted(spark, sf_dir).select("doc_id", redact.redact(F.col("text")).alias("text"))
+
+
 #: The chain in a dialect without lookaround: pattern, replacement.
 _SQL_CHAIN = (
     (r"\b\d{3}-\d{2}-\d{4}\b", "<REDACTED:US_SSN>"),
@@ -312,12 +432,12 @@ def sql_redact(column: str, upto: int = len(_SQL_CHAIN)) -> str:
     return column
 
 
-def _kinds_sql() -> str:
+def _kinds_sql(tables=(("documents", "text", "documents"), ("conversations", "text", "conversations"), ("pages", "html", "pages"))) -> str:
     parts = []
-    for t, c in (("documents", "text"), ("conversations", "text"), ("pages", "html")):
+    for t, c, source in tables:
         for kind in redact.KINDS:
             n = " + ".join(f"len(regexp_extract_all({sql_redact(c, i)}, {_q(_SQL_CHAIN[i][0])}))" for i, (k, _) in enumerate(redact.PATTERNS) if k == kind)
-            parts.append(f"SELECT '{t}' AS source_table, '{kind}' AS kind, sum({n})::BIGINT AS hits FROM {t}")
+            parts.append(f"SELECT '{t}' AS source_table, '{kind}' AS kind, sum({n})::BIGINT AS hits FROM {source}")
     return " UNION ALL ".join(parts)
 
 
@@ -331,25 +451,54 @@ def line_scan_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hits.select("doc_id", F.col("line_no").cast("long").alias("line_no"), F.array_join("kinds", ",").alias("kinds"))
 
 
-def _line_scan_sql() -> str:
+def _line_scan_sql(source: str = "documents", key: str = "doc_id", lines: str = "TRUE") -> str:
     tests = []
     for kind in sorted(redact.KINDS):
         n = " OR ".join(f"regexp_matches({sql_redact('line', i)}, {_q(_SQL_CHAIN[i][0])})" for i, (k, _) in enumerate(redact.PATTERNS) if k == kind)
         tests.append(f"CASE WHEN {n} THEN '{kind}' END")
     split = f"string_split_regex(text, {_q(LINE_END)})"
-    return f"""WITH l AS (SELECT doc_id, unnest({split}) AS line, generate_subscripts({split}, 1) AS line_no FROM documents)
-SELECT doc_id, line_no, kinds FROM (SELECT doc_id, line_no::BIGINT AS line_no, concat_ws(',', {', '.join(tests)}) AS kinds FROM l) WHERE kinds <> ''"""
+    return f"""WITH l AS (SELECT {key}, unnest({split}) AS line, generate_subscripts({split}, 1) AS line_no FROM {source})
+SELECT {key}, line_no, kinds FROM (SELECT {key}, line_no::BIGINT AS line_no, concat_ws(',', {', '.join(tests)}) AS kinds FROM l WHERE {lines}) WHERE kinds <> ''"""
+
+
+def _scan_markers_sql() -> str:
+    kept = f"(SELECT * FROM ({_marked_sql()}) WHERE NOT path GLOB '*/build/*' AND NOT path GLOB '*7.txt' AND NOT contains(array_to_string(list_slice(string_split_regex(text, {_q(LINE_END)}), 1, {blobs.ALLOW_FILE_LINES}), ' '), '{blobs.ALLOW_FILE}'))"
+    return _line_scan_sql(kept, "path", f"NOT contains(line, '{blobs.ALLOW_LINE}')")
 
 
 def line_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines(table(spark, sf_dir, "documents"), "text", "doc_id").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_lines"))
 
 
+def marked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The planted documents; some with a marker on their last line, some with one for all of them on the first."""
+    df = planted(spark, sf_dir)
+    text = F.when(F.pmod("doc_id", F.lit(4)) == 1, F.concat("text", F.lit(f" # {blobs.ALLOW_LINE}"))).when(F.pmod("doc_id", F.lit(4)) == 2, F.concat(F.lit(f"# {blobs.ALLOW_FILE}\n"), "text")).otherwise(F.col("text"))
+    path = F.concat(F.element_at(F.array(F.lit("notes/"), F.lit("src/"), F.lit("src/build/")), (F.pmod("doc_id", F.lit(3)) + 1).cast("int")), F.col("doc_id").cast("string"), F.lit(".txt"))
+    return df.select("doc_id", path.alias("path"), text.alias("text"))
+
+
+#: Globs of paths that a scan leaves out.
+IGNORED = ("# build results", "*/build/*", "*7.txt")
+
+
+def scan_markers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines with identifiers in files that no glob ignores, on lines and in files that no marker allows."""
+    texts = marked(spark, sf_dir).filter(~blobs.ignored(F.col("path"), IGNORED))
+    return blobs.scan_lines(texts).select("path", F.col("line_no").cast("long").alias("line_no"), F.array_join("kinds", ",").alias("kinds"))
+
+
+def _marked_sql() -> str:
+    return f"""SELECT doc_id, (['notes/', 'src/', 'src/build/'])[(doc_id % 3 + 1)::INT] || doc_id || '.txt' AS path,
+CASE doc_id % 4 WHEN 1 THEN text || ' # {blobs.ALLOW_LINE}' WHEN 2 THEN '# {blobs.ALLOW_FILE}' || chr(10) || text ELSE text END AS text FROM ({_planted_sql()})"""
+
+
 def credential_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return blobs.find_secrets(table(spark, sf_dir, "documents"), "doc_id").select("doc_id", F.col("line_no").cast("long").alias("line_no"), "prefix")
+    return blobs.find_secrets(planted(spark, sf_dir), "doc_id").select("doc_id", F.col("line_no").cast("long").alias("line_no"), "prefix")
 
 
-_CREDENTIAL_SQL = f"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS line_no FROM documents)
+def _credential_sql() -> str:
+    return f"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS line_no FROM ({_planted_sql()}))
 SELECT doc_id, line_no::BIGINT AS line_no, left(unnest(regexp_extract_all(line, {_q(blobs.SECRET)})), 4) AS prefix FROM l"""
 
 
@@ -401,7 +550,7 @@ def _values(rows: list[tuple], names: str) -> str:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (kanon_docs_lang_source, kanon_customer_nation_segment, kanon_marginal, refuse_supplier_nation, broker_outcomes, gate_corpus, classify_relations, column_screen, metadata_search, policy_draft, profile_stats, person_keys, redact_documents, redact_pages, redact_counts_by_kind, day_precision_dates, line_scan_documents, line_counts, credential_scan, html_to_text_pages, cell_report, audit_chain_verify, eml_scrub)
+    own = (kanon_docs_lang_source, kanon_customer_nation_segment, kanon_marginal, refuse_supplier_nation, broker_outcomes, broker_entities, broker_controls, manifest_index, gate_corpus, classify_relations, column_screen, metadata_search, policy_draft, profile_stats, person_keys, redact_documents, redact_pages, redact_counts_by_kind, token_shapes, redact_planted, person_key_gate, scan_markers, day_precision_dates, line_scan_documents, line_counts, credential_scan, html_to_text_pages, cell_report, audit_chain_verify, eml_scrub)
     return {name: governed(sql) for name, (sql, _) in GOVERNED.items()} | {f.__name__: f for f in own}
 
 
@@ -418,6 +567,9 @@ def oracle_sql() -> dict[str, str]:
         "kanon_marginal": f"SELECT {b('nation')}, {b('segment')}, {b('n')} FROM (SELECT *, bool_or(s) OVER () AS a FROM ({marginal}))",
         "refuse_supplier_nation": "SELECT s > 0 AND (r <= 5 OR s > 0.5 * r) AS refused, r AS n_rows, s AS n_suppressed, 2 * s AS n_cells FROM (SELECT count(*) AS r, count_if(n BETWEEN 1 AND 10)::BIGINT AS s FROM (SELECT s_nationkey, count(*) AS n FROM supplier GROUP BY 1))",
         "broker_outcomes": _values([(s, c) for c, s in OUTCOMES], "statement, exit_code"),
+        "broker_entities": _entities_sql(),
+        "broker_controls": _values(list(CONTROL_ROWS), "step, exit_code, changed"),
+        "manifest_index": f"SELECT relation, \"column\", CASE WHEN split_part(relation, '.', 3) IN ({', '.join(map(names, TABLES[:6]))}) THEN \"column\" || ' of ' || split_part(relation, '.', 3) ELSE '' END AS description FROM ({cols})",
         "gate_corpus": _values([(s, ok) for _, ok, s in CORPUS], "statement, allowed"),
         "classify_relations": _values(list(RELATIONS), "relation, level"),
         "column_screen": _column_screen_sql(),
@@ -431,7 +583,11 @@ def oracle_sql() -> dict[str, str]:
         "day_precision_dates": f"SELECT doc_id, len(regexp_extract_all({sql_redact(chr(40) + 'text || ' + _q(' 2024-01-05 ') + ' || doc_id' + chr(41))}, {_q(redact.DAY_DATE)}))::BIGINT AS dates FROM documents",
         "line_scan_documents": _line_scan_sql(),
         "line_counts": "SELECT doc_id, len(string_split_regex(regexp_replace(text, '\\n\\z', ''), '\\n'))::BIGINT AS n_lines FROM documents WHERE length(text) > 0",
-        "credential_scan": _CREDENTIAL_SQL,
+        "credential_scan": _credential_sql(),
+        "scan_markers": _scan_markers_sql(),
+        "token_shapes": f"SELECT kind, hits FROM ({_kinds_sql(((chr(112), 'text', '(' + _planted_sql() + ')'),))})",
+        "redact_planted": f"SELECT doc_id, {sql_redact('text')} AS text FROM ({_planted_sql()})",
+        "person_key_gate": f"SELECT relation, \"column\", row_count > 0 AND distinct_count >= 0.5 * row_count AS person_key FROM ({_profile_sql()})",
         "cell_report": _CELL_SQL.format(_kinds_sql()),
         "audit_chain_verify": _AUDIT_SQL,
     }

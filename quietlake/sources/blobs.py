@@ -13,8 +13,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.globs import Globs
-from ..functions.lines import lines
-from ..functions.redact import java, redact_kinds
+from ..functions.lines import LINE_END, lines
+from ..functions.redact import NEEDED_BY_ANY, java, staged, staged_kinds
 from ..shipping import ship
 from .mail import text_of
 
@@ -23,8 +23,10 @@ SNIFF_BYTES = 8192
 LEGACY = (".doc", ".xls", ".ppt")
 #: Members of office archives that hold text.
 OFFICE = {".docx": r"word/(?:document|header\d*|footer\d*|footnotes|endnotes|comments)\.xml", ".xlsx": r"xl/(?:sharedStrings|worksheets/sheet\d+|comments\d*)\.xml", ".pptx": r"ppt/(?:slides/slide\d+|notesSlides/notesSlide\d+)\.xml"}
+# What ends a paragraph, cell or row in office files; any tag.
 _LINE_END = re.compile(r"</(?:w:p|a:p|si|row|t)>")
 _TAG = re.compile(r"<[^>]+>")
+#: Markers that skip a line, or the file in whose first lines they stand.
 ALLOW_LINE, ALLOW_FILE, ALLOW_FILE_LINES = "quietlake: allow", "quietlake: allow-file", 20
 # Shapes of credentials.
 SECRET = r"gh[pousr]_[A-Za-z0-9]{30,}|AKIA[0-9A-Z]{16}"
@@ -111,12 +113,18 @@ def ignored(path: Column, globs: tuple[str, ...]) -> Column:
 def scan_lines(texts: DataFrame, key: str = "path", text: str = "text") -> DataFrame:
     """``key, line_no, kinds`` of lines with identifiers. Values are never returned.
 
-    A marker on a line skips it; the file marker in the first lines skips the file.
+    A marker on a line skips it; the file marker in the first lines skips the file. Lines without
+    anything that any pattern needs are put aside by one test; only the others run through the chain.
     """
-    rows = lines(texts, text, key)
-    allowed = rows.filter((F.col("line_no") <= ALLOW_FILE_LINES) & F.contains("line", F.lit(ALLOW_FILE))).select(key).distinct()
-    rows = rows.join(allowed, key, "left_anti").filter(~F.contains("line", F.lit(ALLOW_LINE)))
-    return rows.select(key, "line_no", redact_kinds(F.col("line")).alias("kinds")).filter(F.size("kinds") > 0)
+    first = F.slice(F.split(F.col(text), LINE_END), 1, ALLOW_FILE_LINES)
+    marked = F.when(F.contains(text, F.lit(ALLOW_FILE)), F.exists(first, lambda x: F.contains(x, F.lit(ALLOW_FILE)))).otherwise(F.lit(False))
+    rows = lines(texts.filter(~marked), text, key).filter(~F.contains("line", F.lit(ALLOW_LINE)) & F.col("line").rlike(NEEDED_BY_ANY))
+    rows = staged(rows, "line")
+    n = staged_kinds()
+    kinds = F.array_compact(F.array(*[F.when(n[k] > 0, F.lit(k)) for k in sorted(n)]))
+    # a column that isn't deterministic keeps the last filter from being pushed into, and repeating, the chain
+    found = rows.select(key, "line_no", kinds.alias("kinds"), F.monotonically_increasing_id().alias("_stop"))
+    return found.filter((F.size("kinds") > 0) & (F.col("_stop") >= 0)).drop("_stop")
 
 
 def scan_summary(texts: DataFrame, hits: DataFrame, key: str = "path") -> DataFrame:
@@ -126,6 +134,11 @@ def scan_summary(texts: DataFrame, hits: DataFrame, key: str = "path") -> DataFr
     return n.crossJoin(h).withColumn("blocked", (F.col("files_with_hits") > 0) | (F.col("unscannable") > 0))
 
 
+def blocked(files_with_hits: int, unscannable: int, allow_unscannable: bool = False, strict: bool = False) -> bool:
+    """Whether a scan's result stops what it was made for. Hits always do; what can't be read does, unless it is allowed and the scan isn't strict."""
+    return files_with_hits > 0 or unscannable > 0 and (strict or not allow_unscannable)
+
+
 def find_secrets(texts: DataFrame, key: str = "path", text: str = "text") -> DataFrame:
     """``key, line_no, prefix`` of credential shapes; the first four characters only."""
     rows = lines(texts, text, key).filter(F.col("line").rlike(SECRET))

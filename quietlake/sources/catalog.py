@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
 _adapters: dict[str, Callable[..., None]] = {}
 
+#: What a URL has that was never filled in: "<host>", "your-host", or a host of the documentation domains alone.
+PLACEHOLDER = re.compile(r"<[^>]*>|\{[^}]*\}|://(?:your|my)[-_]|://(?:[^/:@]*@)?(?:[\w-]+\.)?example(?:\.(?:com|org|net))?(?=[:/]|$)", re.I)
 FORMATS = ("parquet", "orc", "csv", "json", "text", "avro")
 
 
@@ -36,7 +39,7 @@ def read(spark: SparkSession, path: str, format: str = "parquet", **options: str
 
 def jdbc(spark: SparkSession, url: str, tables: dict[str, str], **options: str) -> None:
     """Views over tables of a database; Spark pushes filters and columns down to it."""
-    if "example" in url or "<" in url:
+    if PLACEHOLDER.search(url):
         raise ValueError("the URL is a placeholder")
     for view, table in tables.items():
         spark.read.format("jdbc").options(url=url, dbtable=table, **options).load().createOrReplaceTempView(view)

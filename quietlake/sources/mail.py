@@ -20,10 +20,12 @@ from ..functions.flatten import html_to_text
 from ..functions.redact import EMAIL_PATTERNS, LABEL, PATTERNS
 from ..shipping import ship
 
+# Headers with addresses, which stay as domains alone; all headers that stay.
 ADDRESSES = ("from", "to", "cc", "reply-to", "sender")
-#: Headers that stay; addresses as domains alone, the subject redacted.
 KEPT = (*ADDRESSES, "subject", "date")
 
+#: A line without any of these has no hit of the general patterns.
+_NEEDED = re.compile(r"\d|@|gh[pousr]_|dapi|lin_api_|token|secret|api|pass|\bpat\b|bearer", re.I)
 _PLAIN = [(k, re.compile(p)) for k, p in PATTERNS]
 _MAIL = [(k, re.compile(p)) for k, p in EMAIL_PATTERNS]
 
@@ -51,7 +53,7 @@ def redact_lines(text: str, report: MailReport) -> str:
     """The general patterns, line by line."""
     out = []
     for line in text.splitlines(keepends=True):
-        for kind, p in _PLAIN:
+        for kind, p in _PLAIN if _NEEDED.search(line) else ():
             line, n = p.subn(LABEL.format(kind), line)
             report.identifiers[kind] += n
         out.append(line)
@@ -91,7 +93,9 @@ def _cleaned(part: EmailMessage, report: MailReport, nested: bool) -> EmailMessa
     for name, value in part.items() if own else []:
         low = name.lower()
         if low in ADDRESSES:
-            domains = [a.rpartition("@")[2] for _, a in getaddresses([str(value)])]
+            found = [a for _, a in getaddresses([str(value)]) if a]
+            report.identifiers["EMAIL_ADDRESS"] += sum("@" in a for a in found)
+            domains = [a.rpartition("@")[2] for a in found] or [""]
             safe = ", ".join(f"REDACTED <redacted@{re.sub(r'[^A-Za-z0-9.-]', '', d) or 'invalid'}>" for d in domains)
             if low not in out:
                 out[name] = safe

@@ -49,9 +49,9 @@ def test_suppressed_and_redacted(spark):
     spark.createDataFrame(rows, "dept_id string, v int").createOrReplaceTempView("visits")
     got = Broker(spark, Policy.of({"amber": ["visits"]}), Settings()).run("SELECT dept_id, count(*) AS total_people FROM visits GROUP BY dept_id")
     assert {tuple(r) for r in got.df.collect()} == {(f"d{i}", "20") for i in range(8)} | {("<11", "<11")}
-    spark.createDataFrame([(f"call 330-555-01{i:02d}", i) for i in range(3)], "label string, v int").createOrReplaceTempView("marts")
+    spark.createDataFrame([(f"ring 541.555.01{i:02d}", i) for i in range(3)], "label string, v int").createOrReplaceTempView("marts")
     got = Broker(spark, Policy.of({"green": ["marts"]}), Settings()).run("SELECT label FROM marts")
-    assert {r[0] for r in got.df.collect()} == {"call <REDACTED:PHONE_NUMBER>"} and got.cells.alarm
+    assert {r[0] for r in got.df.collect()} == {"ring <REDACTED:PHONE_NUMBER>"} and got.cells.alarm
 
 
 def test_views_types_come_from_the_catalog(spark, sf_dir):
@@ -105,3 +105,59 @@ def test_levels_agree(spark):
     p = Policy.default()
     got = {r["relation"]: r["level"] for r in profile.classified(spark.createDataFrame([(n,) for n in names], "relation string"), p).collect()}
     assert got == {n: p.level(n) for n in names}
+
+
+def test_required_entity_scan(spark, sf_dir, tmp_path):
+    catalog.files(spark, sf_dir, TABLES)
+    sql, strict = "SELECT n_name FROM nation", Settings(require_entity_scan=True)
+    with pytest.raises(Refused):
+        Broker(spark, POLICY, strict).run(sql)
+
+    def broken():
+        raise OSError("no model")
+
+    with pytest.raises(Refused):
+        Broker(spark, POLICY, strict, recogniser=broken).run(sql)
+    got = Broker(spark, POLICY, strict, recogniser=lambda: lambda text: ["PLACE"] if "A" in text else [], out=tmp_path / "o").run(sql)
+    assert got.cells.entities == ["PLACE"] and got.cells.alarm
+    assert json.loads((tmp_path / "o/verdict.json").read_text())["hits"]
+
+
+def test_changed_controls_are_named(spark, sf_dir, tmp_path):
+    catalog.files(spark, sf_dir, TABLES)
+    log = AuditLog(tmp_path / "log.jsonl")
+    for k, changed in ((11, []), (11, []), (12, ["settings_sha256"])):
+        Broker(spark, POLICY, Settings(k=k), audit=log).run("SELECT r_name FROM region")
+        assert log.last_event("run")["controls_changed"] == changed
+
+
+def test_log_in_many_splits(spark, tmp_path):
+    """Numbers and lines before follow the file, however it is split."""
+    log = AuditLog(tmp_path / "long.jsonl")
+    for i in range(60):
+        log.append("run", i=i, pad="x" * (i % 7 * 40))
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes"), spark.conf.get("spark.sql.files.openCostInBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1000")
+    spark.conf.set("spark.sql.files.openCostInBytes", "1")
+    try:
+        lines = log_lines(spark, str(tmp_path / "long.jsonl"))
+        raw = (tmp_path / "long.jsonl").read_text().splitlines()
+        got = {r["line_no"]: (r["raw"], r["before"]) for r in lines.collect()}
+        assert got == {i + 1: (x, raw[i - 1] if i else None) for i, x in enumerate(raw)}
+        assert log.verify(spark) == (True, None)
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old[0])
+        spark.conf.set("spark.sql.files.openCostInBytes", old[1])
+
+
+def test_manifests_and_catalogs(spark, tmp_path):
+    for name in ("p/q", "r"):
+        (tmp_path / name / "target").mkdir(parents=True)
+        (tmp_path / name / "target/manifest.json").write_text(json.dumps({"sources": {"s": {"resource_type": "source", "name": name[-1], "schema": "m", "columns": {"A": {"description": "an a"}}}}}))
+    (tmp_path / "broken/target").mkdir(parents=True)
+    (tmp_path / "broken/target/manifest.json").write_text("{")
+    index, broken = profile.from_manifests(profile.discover(tmp_path))
+    assert set(index) == {"m.q", "m.r"} and len(broken) == 1 and index["m.q"]["columns"]["a"]["description"] == "an a"
+    names, skipped = profile.relations_of(spark, ["spark_catalog", "no_such_catalog"])
+    assert set(skipped) == {"no_such_catalog"} and isinstance(names, list)
+    assert profile.snapshot(spark, ["no.such.relation"]) == {}

@@ -17,18 +17,19 @@ def rows(df):
 
 
 def test_whole_row_and_true_zero(spark):
-    df = spark.createDataFrame([("North", 13, 0.42), ("South", 3, 1.1), ("East", 0, 0.0)], "entity_name string, infection_count long, rate double")
+    """A small count takes its row's other cells along; none at all is no small count."""
+    df = spark.createDataFrame([(2021, 480, "kiosk", True), (2022, 0, "kiosk", False), (2023, 7, "stand", None), (2024, 11, "stand", True)], "sale_year int, sales_count long, place string, open boolean")
     out = suppress.suppress(df, 11, suppress.count_positions(df.columns, COUNTS), [0])
-    assert rows(out) == [["North", "13", "0.42"], [S, S, S], ["East", "0", "0.0"]]
-    m = suppress.measure(out, 3, [1])
-    assert (m.rows, m.rows_suppressed, m.cells_suppressed) == (3, 1, 3)
+    assert rows(out) == [["2021", "480", "kiosk", "true"], ["2022", "0", "kiosk", "false"], [S] * 4, ["2024", "11", "stand", "true"]]
+    m = suppress.measure(out, 4, [1])
+    assert (m.rows, m.rows_suppressed, m.cells_suppressed) == (4, 1, 4)
 
 
 def test_total_line_goes_with_a_blanked_row(spark):
-    df = spark.createDataFrame([("ED", 40), ("ICU", 3), (" All ", 43), ("OR", 20), (None, 99)], "dept string, n long")
-    assert rows(suppress.suppress(df, 11, [1], [0])) == [["ED", "40"], [S, S], [S, S], ["OR", "20"], [S, S]]
-    df = spark.createDataFrame([("ED", 40), ("ALL", 40)], "dept string, n long")
-    assert rows(suppress.suppress(df, 11, [1], [0])) == [["ED", "40"], ["ALL", "40"]]
+    df = spark.createDataFrame([("pears", 61), ("figs", 2), (" TOTAL", 63), ("plums", 15), (None, 78)], "fruit string, n long")
+    assert rows(suppress.suppress(df, 11, [1], [0])) == [["pears", "61"], [S, S], [S, S], ["plums", "15"], [S, S]]
+    df = spark.createDataFrame([("pears", 61), ("total", 61)], "fruit string, n long")
+    assert rows(suppress.suppress(df, 11, [1], [0])) == [["pears", "61"], ["total", "61"]]
 
 
 @pytest.mark.parametrize(("cell", "small"), [("1", True), ("10", True), ("11", False), ("0", False), ("-3", False), ("2.5", False), ("1,0", True), ("3.0", True), ("x", False), (None, False), ("NaN", False)])
@@ -83,17 +84,30 @@ def test_a_row_is_blanked_whole_or_not_at_all(spark, data):
 
 
 def test_cell_scan(spark):
-    df = spark.createDataFrame([("call 330-555-0142", datetime.date(2025, 7, 4), 40), ("seen 2025-01-02", None, 1), ("", None, 2), (None, None, 3)], "t string, d date, n long")
+    df = spark.createDataFrame([("ring 541.555.0177", datetime.date(2031, 2, 9), 40), ("seen 2031-02-08", None, 1), ("", None, 2), (None, None, 3)], "t string, d date, n long")
     out, report = cellscan.scan_cells(df)
-    assert rows(out)[0][0] == "call <REDACTED:PHONE_NUMBER>"
+    assert rows(out)[0][0] == "ring <REDACTED:PHONE_NUMBER>"
     assert report.kinds == {"PHONE_NUMBER": 1} and report.columns == {"t": ["PHONE_NUMBER"]}
     assert report.day_precision_dates == 2 and report.alarm
 
 
 def test_entities_within_a_budget(spark):
     def load():
-        return lambda text: ["PERSON"] if "Jane" in text else []
+        return lambda text: ["PERSON"] if "Quist" in text else []
 
-    df = spark.createDataFrame([("Jane Doe",), ("none",), ("x" * 50,), (None,)], "t string").coalesce(1)
+    df = spark.createDataFrame([("O. Quist",), ("none",), ("x" * 50,), (None,)], "t string").coalesce(1)
     got = [r[0] for r in df.select(cellscan.entity_udf(load, budget=30)("t")).collect()]
     assert got == [["PERSON"], [], None, []]
+
+
+def test_hits_and_entities_of_a_result(spark):
+    def load():
+        return lambda text: ["PERSON"] if "Quist" in text else []
+
+    df = spark.createDataFrame([("ring 541.555.0177", "O. Quist"), ("12,000.5", "none"), (None, "172.20.3.8 Quist")], "t string, u string")
+    _, report = cellscan.scan_cells(df, list_hits=True, recogniser=load)
+    assert report.hits == [(1, "t", ["PHONE_NUMBER"]), (1, "u", ["PERSON"]), (3, "u", ["IP_ADDRESS", "PERSON"])] and report.entities == ["PERSON"] and report.alarm
+    with pytest.raises(cellscan.NotLookedAt):
+        cellscan.scan_cells(df, recogniser=load, budget=20)
+    many = spark.createDataFrame([("172.20.3.8",)] * 80, "t string")
+    assert len(cellscan.scan_cells(many, list_hits=True)[1].hits) == cellscan.MOST_HITS
