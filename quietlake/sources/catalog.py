@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 _adapters: dict[str, Callable[..., None]] = {}
 
 #: What a URL has that was never filled in: "<host>", "your-host", or a host of the documentation domains alone.
-PLACEHOLDER = re.compile(r"<[^>]*>|\{[^}]*\}|://(?:your|my)[-_]|://(?:[^/:@]*@)?(?:[\w-]+\.)?example(?:\.(?:com|org|net))?(?=[:/]|$)", re.I)
+PLACEHOLDER = re.compile(r"<[^>]*>|\{[^}]*\}|://(?:your|my)[-_]|://(?:[^/@]*@)?(?:[\w-]+\.)?example(?:\.(?:com|org|net))?(?=[:/]|$)", re.I)
 FORMATS = ("parquet", "orc", "csv", "json", "text", "avro")
 
 
