@@ -13,43 +13,103 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..plans.spread import spread
 from ..shipping import ship
 
 #: Bytes of text that a Python worker splits into words at once.
 SLICE_BYTES = 1 << 19
 
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Only where the session has none (local runs, tests) a temporary folder is set.
+    Only a local session may be without one (tests); a temporary folder is set there. On a cluster
+    that is an error, as executors don't see each other's folders.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         found = spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise RuntimeError("spark.checkpoint.dir isn't set; it must name a folder that all executors share")
         found = f"file://{tempfile.mkdtemp(prefix='quietlake-')}"
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
 
 
-def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/quietlake/{name}-{uuid.uuid4().hex}"
+class Scratch:
+    """What a stage makes on its way: stored tables and broadcasts, taken away when the stage's result is stored.
+
+    Used as a context; it records what is made inside, and :meth:`clear` removes it. Without one
+    nothing is recorded, and nothing is ever removed but what :func:`drop` names.
+    """
+
+    current: Scratch | None = None
+
+    def __init__(self, spark: SparkSession) -> None:
+        self.spark = spark
+        self.paths: list[str] = []
+        self.broadcasts: list = []
+
+    def __enter__(self) -> Scratch:
+        self.outer, Scratch.current = Scratch.current, self
+        return self
 
+    def __exit__(self, *_) -> None:
+        Scratch.current = self.outer
 
-def stored(df: DataFrame, name: str, **options: str) -> DataFrame:
+    def clear(self) -> None:
+        for b in self.broadcasts:
+            b.destroy()
+        for p in self.paths:
+            delete(self.spark, p)
+        self.paths, self.broadcasts = [], []
+
+
+def fresh_path(spark: SparkSession, name: str, keep: bool = False) -> str:
+    """A new path in the shared folder; unless it is to be kept, the stage's scratch takes it away."""
+    path = f"{shared_dir(spark)}/quietlake/{name}-{uuid.uuid4().hex}"
+    if Scratch.current is not None and not keep:
+        Scratch.current.paths.append(path)
+    return path
+
+
+def stored(df: DataFrame, name: str, keep: bool = False, **options: str) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it again.
 
     Cuts the lineage: whatever is derived from the result survives a lost executor without
     recomputing what lies before, and two readers don't compute it twice.
     """
     spark = df.sparkSession
-    path = fresh_path(spark, name)
+    path = fresh_path(spark, name, keep)
     df.write.options(**options).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
+
+
+def drop(*tables: DataFrame | None) -> None:
+    """Remove tables that :func:`stored` made, once nothing that is still to be computed reads them."""
+    for t in tables:
+        if t is not None:
+            delete(t.sparkSession, t.stored_at)
+
+
+def bounded(df: DataFrame, most: int) -> DataFrame:
+    """``df``, which must be stored, to be sent to all executors if it has at most so many rows; else joins shuffle it."""
+    return F.broadcast(df) if df.count() <= most else df
+
+
+def broadcast(spark: SparkSession, value):
+    """A broadcast that ends with the stage's scratch."""
+    b = spark.sparkContext.broadcast(value)
+    if Scratch.current is not None:
+        Scratch.current.broadcasts.append(b)
+    return b
 
 
 def delete(spark: SparkSession, path: str) -> None:
@@ -70,6 +130,22 @@ def prepare(spark: SparkSession) -> None:
         spark.conf.set(_BATCH, str(BATCH_ROWS))
 
 
+_kept: tuple[str, object] = ("", None)
+
+
+def kept(key: str, make: Callable[[], object]):
+    """What ``make`` returns, kept by this worker for later tasks until it is asked for another key.
+
+    A worker serves one stage after another; only the last one's tables stay in its memory.
+    """
+    global _kept
+    if _kept[0] != key:
+        _kept = ("", None)
+        trim()
+        _kept = (key, make())
+    return _kept[1]
+
+
 def trim() -> None:
     """Give a worker's free memory back; the worker stays for later tasks."""
     pa.default_memory_pool().release_unused()

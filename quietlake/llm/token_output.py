@@ -21,10 +21,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import common
-from .wordhash import Table, Words
+from .wordhash import Vocabulary, Words
 
 #: Words whose ids a worker remembers.
-CACHE_WORDS = 600_000
+CACHE_WORDS = 100_000
 END_ID = 1
 ROW_GROUP_BYTES = 32 << 20
 PAGE_BYTES = 256 << 10
@@ -43,38 +43,38 @@ class WordEncoder:
     Holds for tokenizers that split at white space before merging, end each word's last piece
     with a suffix and don't depend on what surrounds a word; any other is used on whole texts.
     New words are encoded in batches by the same model; words that aren't plain go through the
-    whole tokenizer one by one.
+    whole tokenizer one by one. Words met before are found by hash and compared by their bytes, so
+    two words of one hash keep their own ids.
     """
 
     def __init__(self, path: str) -> None:
-        import json
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
         self.whole = Tokenizer.from_file(path)
-        parts = json.loads(self.whole.to_str())
-        suffix = parts["model"].get("end_of_word_suffix")
-        split = json.dumps(parts.get("pre_tokenizer") or {})
-        norms = [x["type"] for x in (parts.get("normalizer") or {}).get("normalizers", [])]
-        self.by_word = bool(suffix) and '"invert": true' in split and "[^\\\\s" in split and norms == ["NFC", "Replace", "Lowercase"] and not any(x["lstrip"] or x["rstrip"] for x in parts.get("added_tokens", []))
+        state = lambda x: x.__getstate__().decode() if x is not None else ""
+        suffix = getattr(self.whole.model, "end_of_word_suffix", None)
+        split = state(self.whole.pre_tokenizer).replace(" ", "")
+        norms = re.findall(r'"type":"(\w+)"', state(self.whole.normalizer).replace(" ", ""))
+        self.by_word = bool(suffix) and '"invert":true' in split and "[^\\\\s" in split and [x for x in norms if x != "Sequence"] == ["NFC", "Replace", "Lowercase"] and not any(x.lstrip or x.rstrip for x in self.whole.get_added_tokens_decoder().values())
         if self.by_word:
-            self.plain = Tokenizer.from_file(path)
-            self.plain.normalizer = normalizers.Sequence([])
-            self.plain.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
             vocab = self.whole.get_vocab()
             self.last = np.zeros(max(vocab.values()) + 1, bool)
             self.last[[i for x, i in vocab.items() if x.endswith(suffix)]] = True
-            self.ascii = Tokenizer.from_file(path)
-            self.ascii.normalizer = normalizers.Sequence([])
+            # all three share one model, which holds nearly all of a tokenizer's memory
+            self.plain, self.ascii = Tokenizer(self.whole.model), Tokenizer(self.whole.model)
+            self.plain.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
             self.ascii.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
             for x in (self.ascii, self.plain):
-                x.model._resize_cache(0)  # each word comes once
+                x.normalizer = normalizers.Sequence([])
+                x.add_special_tokens(list(self.whole.get_added_tokens_decoder().values()))
+            self.whole.model._resize_cache(0)  # each word comes once
         self._forget()
 
     def _forget(self) -> None:
-        self.table = Table()
+        self.words = Vocabulary()
         self.pool = np.zeros(1 << 16, "<u4")
         self.offsets = np.zeros(1 << 14, np.int64)
         self.sizes = np.zeros(1 << 14, np.int64)
@@ -131,15 +131,8 @@ class WordEncoder:
         if self.n > CACHE_WORDS:
             self._forget()
         words = Words([b"" if i in whole else x for i, x in enumerate(texts)])
-        at = self.table.find(words.hashes)
-        if len(miss := np.flatnonzero(at < 0)):
-            new, first, inverse = np.unique(words.hashes[miss], return_index=True, return_inverse=True)
-            ids = self._ids([words.word(i) for i in miss[first].tolist()])
-            if self.n != self.table.n:
-                raise RuntimeError("the pool and the table differ")
-            self.table.add(new)
-            self._keep(ids)
-            at[miss] = self.table.n - len(new) + inverse
+        at, new = self.words.grow(words)
+        self._keep(self._ids(new))
         sizes = self.sizes[at]
         total = np.concatenate([[0], np.cumsum(sizes)])
         ids = self.pool[np.arange(total[-1]) + np.repeat(self.offsets[at] - total[:-1], sizes)]
@@ -153,16 +146,6 @@ class WordEncoder:
         return np.concatenate(each), np.array([len(x) for x in each], np.int64)
 
 
-_encoders: dict[str, WordEncoder] = {}
-
-
-def encoder(path: str) -> WordEncoder:
-    """The worker's encoder; kept from task to task."""
-    if path not in _encoders:
-        _encoders[path] = WordEncoder(path)
-    return _encoders[path]
-
-
 SCHEMA = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("part", T.IntegerType(), False), T.StructField("row_in_part", T.LongType(), False), T.StructField("start_in_part", T.LongType(), False), T.StructField("n_tokens", T.LongType(), False), T.StructField("tokens", T.ArrayType(T.IntegerType(), False), False)])
 
 
@@ -181,7 +164,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_I
         from pyspark import TaskContext
 
         part, rows, start = TaskContext.get().partitionId(), 0, 0
-        work = encoder(tokenizer)
+        work = common.kept(f"encoder-{tokenizer}", lambda: WordEncoder(tokenizer))
         for batch in batches:
             for piece, texts in common.slices(batch, "text"):
                 ids, sizes = work.encode(texts, end_id)
@@ -236,6 +219,6 @@ def token_output(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
         import public_tokenizers
 
         tokenizer = public_tokenizers.path("word_bpe_49k.json")
-    path = common.fresh_path(spark, "tokens")
+    path = common.fresh_path(spark, "tokens", keep=True)
     write_tokens(docs, path, tokenizer)
     return token_index(spark, path)

@@ -9,6 +9,7 @@ import pytest
 from tokenizers import Tokenizer
 
 from quietlake.llm import common, token_output
+from quietlake.llm.wordhash import Words
 
 from .helpers import awkward, frame
 
@@ -73,3 +74,20 @@ def test_files(spark, rows, tmp_path):
 def test_empty(spark):
     assert token_output.token_output(frame(spark, [])).count() == 0
     assert common.shared_dir(spark)
+
+
+def thue_morse(n):
+    """A word of ``n`` letters and its complement, which polynomial hashes modulo a power of two take for one."""
+    return "".join("ab"[i.bit_count() & 1] for i in range(n)), "".join("ba"[i.bit_count() & 1] for i in range(n))
+
+
+@pytest.mark.parametrize("clash", [False, True])
+def test_words_of_one_hash_keep_their_ids(monkeypatch, clash):
+    if clash:  # all words of one length share a hash
+        monkeypatch.setattr(Words, "_hash", lambda self: self.sizes.astype(np.uint64))
+    whole, enc = Tokenizer.from_file(PATH), token_output.WordEncoder(PATH)
+    texts = [" ".join(x for n in (4, 16, 1024, 4096) for x in thue_morse(n)), "one two ten abc " * 3, "two one abc ten", "b a"]
+    for _ in range(2):
+        ids, n = enc.encode([t.encode() for t in texts], 1)
+        for t, got in zip(texts, np.split(ids, np.cumsum(n)[:-1]), strict=True):
+            assert got.tolist() == whole.encode(t, add_special_tokens=False).ids + [1]
