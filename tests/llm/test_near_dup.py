@@ -3,6 +3,7 @@ import random
 
 import duckdb
 import numpy as np
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -142,3 +143,46 @@ def test_sql(spark, sf_dir):
     con.execute(f"CREATE VIEW documents AS SELECT * FROM '{sf_dir}/documents.parquet'")
     want = con.execute(queries.oracle_sql()["op8_ngram_jaccard"]).fetchall()
     assert sorted(map(tuple, queries.op8_ngram_jaccard(spark, sf_dir).select("doc_id", "n_shingles", "component_id").collect())) == sorted(want)
+
+
+def thue_morse():
+    """Two words of 1,024 letters that polynomial hashes modulo a power of two take for one."""
+    return "".join("ab"[i.bit_count() & 1] for i in range(1024)), "".join("ba"[i.bit_count() & 1] for i in range(1024))
+
+
+def test_texts_of_one_word_each_stay_apart(spark):
+    rows = [(i, t, None, None) for i, t in enumerate(thue_morse())]
+    assert near_dup.identities([t.encode() for _, t, *_ in rows])[0] != near_dup.identities([rows[1][1].encode()])[0]
+    assert sorted(map(tuple, near_dup.near_duplicates(frame(spark, rows)).collect())) == [(0, 1, 0), (1, 1, 1)]
+
+
+@pytest.mark.parametrize("block", [1, 3, 7])
+def test_large_keys_in_tiles(spark, monkeypatch, block):
+    """Blocks so small that nearly all keys are dealt out in tiles, chunks of a few rows, no rounds before the pairs."""
+    for name, x in (("BLOCK", block), ("CHUNK_ROWS", 5), ("STAR_ROUNDS", int(block == 7)), ("NEAREST_ROUNDS", int(block == 3))):
+        monkeypatch.setattr(near_dup, name, x)
+    rows = corpus(5, 70)
+    assert sorted(map(tuple, near_dup.near_duplicates(frame(spark, rows)).collect()), key=repr) == brute(rows)
+
+
+def test_tiles_hold_each_pair_of_components_once(spark, monkeypatch):
+    monkeypatch.setattr(near_dup, "BLOCK", 4)
+    rows = [(1, i, i if i % 3 else 0, 50, [0] * 16) for i in range(40)] + [(2, 100, 100, 50, [0] * 16), (2, 101, 101, 50, [0] * 16)]
+    df = spark.createDataFrame(rows, "key long, node long, comp long, n long, sketch array<long>")
+    tops = spark.createDataFrame([(1, 40, 0), (2, 2, 100)], "key long, m long, hub_comp long")
+    tiles = near_dup.tiled(df, tops, pairs=True)
+    got = []
+    for part in tiles.rdd.glom().collect():
+        for _, tile in itertools.groupby(part, key=lambda r: (r["key"], r["tile"])):
+            tile = list(tile)
+            assert len(tile) <= 4 * near_dup.BLOCK
+            one = tile[0]["tile"] // near_dup.TILE == tile[0]["tile"] % near_dup.TILE
+            got += [(a["node"], b["node"]) for a, b in itertools.combinations(tile, 2) if a["comp"] != b["comp"] and (one or a["block"] != b["block"])]
+    want = [(a[1], b[1]) for a, b in itertools.combinations(rows, 2) if a[0] == b[0] and a[2] != b[2]]
+    assert sorted(tuple(sorted(p)) for p in got) == sorted(want)
+
+
+def test_nodes_of_one_number_are_told_apart(spark):
+    """Numbers that say next to nothing: marks part what they would merge."""
+    rows = corpus(6, 90)
+    assert sorted(map(tuple, near_dup.near_duplicates(frame(spark, rows), bits=4).collect()), key=repr) == brute(rows)
