@@ -15,6 +15,8 @@ BUCKETS = 1024
 #: Words are runs of anything but \x20 and \x09-\x0D.
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (1.0, 2.0, 3.0)
+#: The plan, one row a source, is sent to all executors up to so many rows; beyond, a join shuffles both sides and splits hot sources at run time.
+BROADCAST_ROWS = 200_000
 
 
 def n_words(text: Column) -> Column:
@@ -48,22 +50,20 @@ def targets(sizes: DataFrame) -> DataFrame:
     return w.select("source", "source_size", "weight", "target")
 
 
-def mix_plan(docs: DataFrame) -> DataFrame:
-    """Per row of ``docs(doc_id, source, text)``: doc_id, size, source_size, target, copies, taken.
+def sizes_of(docs: DataFrame) -> DataFrame:
+    """``doc_id, source, size, hi, lo`` of each row, stored."""
+    bits = hash_bits(F.col("doc_id"), F.col("text"))
+    return common.stored(docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), F.floor(bits / BUCKETS).alias("hi"), (bits % BUCKETS).alias("lo")), "mix-sizes")
 
-    A source whose target is q whole sizes and a rest takes every document q times, and once
-    more those whose hash lies under a threshold. The threshold comes from a histogram of words
-    by source and hash bucket; only the bucket where the rest is reached is refined, by a second
-    histogram over the next bits, and its last step is taken if that ends nearer the target. No
-    rows are sorted and nothing is sampled, so reruns agree. Null text has size 0 and is taken 0
-    times; equal rows are treated alike; null sources are one source. Other columns aren't read.
-    An empty table gives no rows.
+
+def cuts(rows: DataFrame) -> DataFrame:
+    """One row a source of :func:`sizes_of`, stored: ``s, source_size, target, q, edge, cut``.
+
+    A source's documents are taken q times, and those before bucket ``edge``, or in it and before
+    ``cut`` of its refinement, once more.
     """
-    bits = hash_bits(F.col("doc_id"), F.col("text"))
-    rows = common.stored(docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), F.floor(bits / BUCKETS).alias("hi"), (bits % BUCKETS).alias("lo")), "mix-sizes")
     hist = rows.groupBy("source", "hi").agg(F.sum("size").alias("words"))
-    sizes = hist.groupBy("source").agg(F.sum("words").alias("source_size"))
-    goal = targets(sizes)
+    goal = targets(hist.groupBy("source").agg(F.sum("words").alias("source_size")))
     goal = goal.withColumn("q", F.least(F.lit(MOST_REPEATS), F.floor(F.col("target") / F.greatest("source_size", F.lit(1))))).withColumn("rest", F.greatest(F.lit(0.0), F.col("target") - F.col("q") * F.col("source_size")))
     goal = common.stored(goal.withColumn("q", F.when(F.col("source_size") == 0, 0).otherwise(F.col("q"))), "mix-targets")
     # the boundary bucket: the first whose running total passes the rest
@@ -71,31 +71,48 @@ def mix_plan(docs: DataFrame) -> DataFrame:
     same = lambda a, b: a["source"].eqNullSafe(b["source"])
     run = F.sum("words").over(step.orderBy("hi").rowsBetween(Window.unboundedPreceding, Window.currentRow))
     first = hist.withColumn("run", run)
-    edge = goal.join(first, same(goal, first) & (first["run"] > goal["rest"]), "left").groupBy(goal["source"], "source_size", "target", "q", "rest").agg(F.min(F.struct("hi", (F.col("run") - F.col("words")).alias("under"))).alias("e")).select(F.col("source").alias("s"), "source_size", "target", "q", "rest", F.coalesce("e.hi", F.lit(BUCKETS)).alias("edge"), F.coalesce("e.under", F.lit(0)).alias("under"))
+    edge = goal.join(first, same(goal, first) & (first["run"] > goal["rest"]), "left")
+    edge = edge.groupBy(goal["source"], "source_size", "target", "q", "rest").agg(F.min(F.struct("hi", (F.col("run") - F.col("words")).alias("under"))).alias("e")).select(F.col("source").alias("s"), "source_size", "target", "q", "rest", F.coalesce("e.hi", F.lit(BUCKETS)).alias("edge"), F.coalesce("e.under", F.lit(0)).alias("under"))
     edge = common.stored(edge, "mix-edge")
-    inner = rows.join(edge, rows["source"].eqNullSafe(edge["s"]) & (rows["hi"] == edge["edge"])).groupBy("s", "lo", "under", "rest").agg(F.sum("size").alias("words"))
+    inner = rows.join(common.bounded(edge, BROADCAST_ROWS), rows["source"].eqNullSafe(edge["s"]) & (rows["hi"] == edge["edge"])).groupBy("s", "lo", "under", "rest").agg(F.sum("size").alias("words"))
     inner = inner.withColumn("run", F.col("under") + F.sum("words").over(Window.partitionBy("s").orderBy("lo").rowsBetween(Window.unboundedPreceding, Window.currentRow)))
     near = (F.col("run") <= F.col("rest")) | (F.col("run") - F.col("rest") < F.col("rest") - (F.col("run") - F.col("words")))
     cut = inner.filter(near).groupBy("s").agg((F.max("lo") + 1).alias("cut")).withColumnRenamed("s", "c")
     plan = edge.join(cut, edge["s"].eqNullSafe(cut["c"]), "left").select("s", "source_size", "target", "q", "edge", F.coalesce("cut", F.lit(0)).alias("cut"))
+    return common.stored(plan, "mix-plan")
+
+
+def copies(some: Column) -> Column:
+    """How often a row with ``hi`` and ``lo`` is taken by the plan joined to it; ``some``: whether it has words."""
     more = (F.col("hi") < F.col("edge")) | ((F.col("hi") == F.col("edge")) & (F.col("lo") < F.col("cut")))
-    out = rows.join(plan, rows["source"].eqNullSafe(plan["s"]))
-    copies = F.least(F.lit(MOST_REPEATS), F.col("q") + F.when(more, 1).otherwise(0))
-    return out.withColumn("copies", F.when(F.col("size") == 0, 0).otherwise(copies).cast("int")).select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"), "hi", "lo", "edge", "cut", "q")
+    n = F.least(F.lit(MOST_REPEATS), F.col("q") + F.when(more, 1).otherwise(0))
+    return F.when(some, n).otherwise(0).cast("int")
+
+
+def mix_plan(docs: DataFrame) -> DataFrame:
+    """Per row of ``docs(doc_id, source, text)``: doc_id, source, size, source_size, target, copies, taken.
+
+    A source whose target is q whole sizes and a rest takes every document q times, and once
+    more those whose hash lies under a threshold. The threshold comes from a histogram of words
+    by source and hash bucket; only the bucket where the rest is reached is refined, by a second
+    histogram over the next bits, and its last step is taken if that ends nearer the target. No
+    rows are sorted and nothing is sampled, so reruns agree. Null text has size 0 and is taken 0
+    times; equal rows are treated alike; null sources are one source. Other columns aren't read.
+    An empty table gives no rows.
+    """
+    rows = sizes_of(docs)
+    plan = cuts(rows)
+    out = rows.join(common.bounded(plan, BROADCAST_ROWS), rows["source"].eqNullSafe(plan["s"]))
+    return out.withColumn("copies", copies(F.col("size") > 0)).select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
 
 
 def mixed(docs: DataFrame) -> DataFrame:
-    """``docs`` with each row as often as the mix takes it."""
-    plan = mix_plan(docs)
-    cuts = plan.groupBy("source").agg(*[F.first(c).alias(f"_{c}") for c in ("edge", "cut", "q")]).withColumnRenamed("source", "_source")
-    cuts = common.stored(cuts, "mix-cuts")
-    cols = [F.col(f"`{c}`") for c in docs.columns]
+    """``docs`` with each row as often as the mix takes it, all columns. Nulls and empty tables as in :func:`mix_plan`."""
+    plan = cuts(sizes_of(docs)).select("s", "edge", "cut", "q")
     bits = hash_bits(F.col("doc_id"), F.col("text"))
-    held = docs.select(F.struct(*cols).alias("_row"), F.col("source").alias("_s"), F.floor(bits / BUCKETS).alias("_hi"), (bits % BUCKETS).alias("_lo"), n_words(F.col("text")).alias("_n"))
-    held = held.join(cuts, held["_s"].eqNullSafe(cuts["_source"]))
-    more = (F.col("_hi") < F.col("_edge")) | ((F.col("_hi") == F.col("_edge")) & (F.col("_lo") < F.col("_cut")))
-    copies = F.least(F.lit(MOST_REPEATS), F.col("_q") + F.when(more, 1).otherwise(0)).cast("int")
-    return held.withColumn("_copies", F.when(F.col("_n") == 0, 0).otherwise(copies)).filter("_copies > 0").withColumn("_k", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select("_row.*")
+    held = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("source").alias("of"), F.floor(bits / BUCKETS).alias("hi"), (bits % BUCKETS).alias("lo"), F.coalesce(F.col("text").rlike(WORD), F.lit(False)).alias("some"))
+    held = held.join(common.bounded(plan, BROADCAST_ROWS), held["of"].eqNullSafe(plan["s"])).select("row", copies(F.col("some")).alias("copies")).filter("copies > 0")
+    return held.select("row", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("row.*")
 
 
 SQL = r"""
