@@ -1,19 +1,23 @@
 """Main text of web pages by minimum-cut labelling.
 
-A page becomes a list of text blocks. A linear classifier over a block's surroundings gives the
-cost of calling it content or boilerplate; these costs are the capacities from the source and to
-the sink. Neighbours in page order, and blocks with one parent, are joined by smoothness edges
-that are weaker the further apart they stand in the tree. The minimum cut, by maximum flow,
-separates content from boilerplate.
+A page becomes a list of text blocks. A classifier, fitted to a bounded sample of labelled blocks
+(:mod:`.page_sample`), gives each block the log-odds of being content, from its text and from what
+the elements around it are called; they are the capacities from the source and to the sink.
+Neighbours in page order, and blocks with one parent, are joined by smoothness edges that are
+weaker the further apart they stand in the tree. The minimum cut, by maximum flow, separates
+content from boilerplate. No single cue weighs more than the strongest edge, so that what a block
+is called can be outweighed by what it stands among.
 """
 
 from __future__ import annotations
 
+import functools
 import html
 import re
 from collections import deque
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
@@ -21,7 +25,7 @@ from pyspark.sql import types as T
 from . import common
 
 #: Elements whose content is never text.
-SKIP = frozenset("script style noscript template head title svg math iframe object select option textarea button canvas audio video datalist".split())
+SKIP = frozenset("script style noscript template head title iframe object select option textarea button canvas audio video datalist".split())
 #: Those whose content isn't markup and ends at their own end tag alone.
 RAW = frozenset("script style textarea title iframe".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -32,16 +36,20 @@ CLOSES = {"li": frozenset(["li"]), "dt": frozenset(["dt", "dd"]), "dd": frozense
 #: What an implied end must not reach beyond.
 SCOPE = frozenset("ul ol dl table html body div article section main nav aside header footer form menu".split())
 
-#: Weights of the classifier in bits; positive is content.
-TAG_WEIGHT = {"article": 4.0, "main": 3.0, "nav": -30.0, "aside": -30.0, "footer": -30.0, "form": -30.0, "menu": -30.0, "dialog": -30.0, "search": -30.0, "header": -30.0}
-ROLE_WEIGHT = {"main": 3.0, "article": 3.0, "navigation": -30.0, "banner": -30.0, "contentinfo": -30.0, "complementary": -30.0, "search": -30.0, "dialog": -30.0, "alert": -30.0, "alertdialog": -30.0, "form": -30.0, "menu": -30.0, "menubar": -30.0, "status": -30.0}
-#: Words of class and id names.
+#: Elements and roles that hold no article.
+AROUND_TAGS = frozenset("nav aside footer form menu dialog search header".split())
+AROUND_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog form menu menubar status".split())
+#: Words of class and id names: what isn't article, what is, what says where something stands, and what names a layout by what it has.
 BAD_NAMES = frozenset("ad ads adv advert adverts advertisement advertising adbox banner promo promotion sponsor sponsored cookie cookies consent gdpr notice notices notification alert newsletter subscribe subscription signup popup modal overlay sidebar sidebars related recommended recommendations share sharing social breadcrumb breadcrumbs menu nav navbar navigation topbar footer header masthead comment comments commentlist disqus reply replies respond reactions pagination pager widget widgets toolbar login search searchbox copyright legal disclaimer toc skip skiplink hidden".split())
 GOOD_NAMES = frozenset("article content main post entry story body text prose".split())
-BAD_WEIGHT, GOOD_WEIGHT = -30.0, 2.0
-#: A block by itself: 80 characters of text weigh as much as an absent article.
-LENGTH_UNIT, LENGTH_MOST, BASE, LINK_WEIGHT, HEADING_WEIGHT = 80.0, 3.0, -0.3, -4.0, 1.0
-SMOOTH, SIBLING = 2.0, 0.5
+PLACE_NAMES = frozenset("area bar block bottom box button buttons col column container cta form global group holder icons inner item items left link links list middle module outer page panel primary reader readers region right row secondary section site slot strip tools top unit user users visitor wide wrap wrapper".split())
+LAYOUT_NAMES = frozenset("with has no without and".split())
+#: The strongest edge joins blocks of one element; each step between two elements halves it, and two of different kinds stand two steps further apart.
+STRONGEST, SIBLING = 6.0, 0.25
+#: The most that one cue of the classifier weighs.
+CUE = 6.0
+#: What the classifier sees of a block, in this order.
+FEATURES = ("bias", "length", "sentence", "links", "heading", "paragraph", "article", "around", "role", "named", "half_named", "well_named")
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(.*?)\]\]>|<![^>]*>|<\?[^>]*>|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<(/?)([A-Za-z][^\s/>]*)([^>]*)>", re.S)
 _ATTR = re.compile(r"([^\s=\"'/>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
@@ -49,12 +57,23 @@ _NAME_WORD = re.compile(r"[A-Za-z][a-z]*|[A-Z]+")
 _SPACE = re.compile(r"\s+")
 
 
+@dataclass(slots=True)
+class Cues:
+    """What an element and those above it say: how many are of a kind."""
+
+    around: int = 0
+    role: int = 0
+    named: int = 0
+    half_named: int = 0
+    well_named: int = 0
+
+
 @dataclass(slots=True)
 class Node:
     tag: str
     parent: Node | None
     depth: int
-    weight: float
+    cues: Cues
     in_article: bool
     link: bool
     hidden: bool = False
@@ -64,34 +83,52 @@ class Node:
 class Block:
     text: str
     at: Node
-    weight: float = 0.0
-    parts: list[str] = field(default_factory=list)
+    links: float = 0.0
 
 
-def _weight(tag: str, attrs: str, parent: Node | None) -> float | None:
-    """An element's own weight; None if it is hidden."""
-    w = TAG_WEIGHT.get(tag, 0.0)
-    if tag == "header" and parent is not None and parent.in_article:
-        w = 0.0  # an article's own header has its headline
+def judged_name(name: str, in_article: bool) -> str | None:
+    """named, half_named (with other words, as in "share-price"), well_named, or None, of a class or id.
+
+    A header within an article, or named after one, has the headline and says nothing; nor does a
+    layout that is named by what it has.
+    """
+    words = {x.lower() for x in _NAME_WORD.findall(name)}
+    good = bool(words & GOOD_NAMES)
+    bad = words & BAD_NAMES
+    if bad == {"header"} and (in_article or good):
+        bad = set()
+    if not bad:
+        return "well_named" if good else None
+    if words & LAYOUT_NAMES:
+        return None
+    return "named" if words <= BAD_NAMES | PLACE_NAMES | GOOD_NAMES else "half_named"
+
+
+def _cues(tag: str, attrs: str, parent: Node) -> Cues | None:
+    """The cues of an element and those above it; None if it is hidden."""
+    c = parent.cues
+    out = Cues(c.around, c.role, c.named, c.half_named, c.well_named)
+    if tag in AROUND_TAGS and not (tag == "header" and parent.in_article):  # an article's own header has its headline
+        out.around += 1
     if "=" not in attrs and "hidden" not in attrs:
-        return w
+        return out
     for m in _ATTR.finditer(attrs):
         name, value = m[1].lower(), html.unescape(m[2] or m[3] or m[4] or "")
         if name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
             return None
         if name == "role":
-            w += ROLE_WEIGHT.get(value.strip().lower(), 0.0)
+            out.role += value.strip().lower() in AROUND_ROLES
         elif name in ("class", "id") and tag not in ("html", "body"):
-            words = {x.lower() for x in _NAME_WORD.findall(value)}
-            bad, good = bool(words & BAD_NAMES), bool(words & GOOD_NAMES)
-            if bad != good:  # a "content-with-sidebar" says neither
-                w += BAD_WEIGHT if bad else GOOD_WEIGHT
-    return w
+            found = {judged_name(x, parent.in_article) for x in value.split()}
+            out.named += "named" in found
+            out.half_named += "half_named" in found and "named" not in found
+            out.well_named += "well_named" in found and not found & {"named", "half_named"}
+    return out
 
 
 def blocks(page: str) -> list[Block]:
     """The page's text blocks in order, with white space as single spaces."""
-    root = Node("", None, 0, 0.0, False, False)
+    root = Node("", None, 0, Cues(), False, False)
     stack, out = [root], []
     text: list[str] = []
     linked = total = 0
@@ -102,7 +139,7 @@ def blocks(page: str) -> list[Block]:
             s = _SPACE.sub(" ", "".join(text)).strip()
             if s:
                 at = next(n for n in reversed(path) if not n.hidden and n.tag in BLOCK or n.parent is None)
-                out.append(_block(s, at, linked / total))
+                out.append(Block(s, at, linked / total))
         text.clear()
         linked = total = 0
 
@@ -158,7 +195,7 @@ def blocks(page: str) -> list[Block]:
         if tag in VOID or attrs.endswith("/") and tag not in BLOCK:
             continue
         parent = stack[-1]
-        w = _weight(tag, attrs, parent)
+        cues = _cues(tag, attrs, parent)
         if tag in RAW:
             skip = tag
             continue
@@ -167,8 +204,8 @@ def blocks(page: str) -> list[Block]:
             b = re.compile(r"</head\s*>|(?=<body[\s>])", re.I).search(page, pos)
             pos = b.end() if b else pos
             continue
-        hidden = parent.hidden or w is None or tag in SKIP
-        stack.append(Node(tag, parent, parent.depth + 1, parent.weight + (w or 0.0), parent.in_article or tag in ("article", "main"), parent.link or tag == "a", hidden))
+        hidden = parent.hidden or cues is None or tag in SKIP
+        stack.append(Node(tag, parent, parent.depth + 1, cues or parent.cues, parent.in_article or tag in ("article", "main"), parent.link or tag == "a", hidden))
     flush(stack)
     return out
 
@@ -182,11 +219,45 @@ def _close(stack: list[Node], tags: frozenset[str]) -> None:
             return
 
 
-def _block(s: str, at: Node, link_share: float) -> Block:
-    w = BASE + min(LENGTH_MOST, len(s) / LENGTH_UNIT) + LINK_WEIGHT * link_share + at.weight
-    if re.fullmatch("h[1-6]", at.tag):
-        w += HEADING_WEIGHT
-    return Block(s, at, w)
+def features(b: Block) -> list[float]:
+    """:data:`FEATURES` of a block, each from 0 to 1."""
+    c, tag = b.at.cues, b.at.tag
+    return [1.0, min(1.0, len(b.text) / 200), float(b.text[-1] in ".!?\u2026\"\u201d\u00bb:"), b.links, float(len(tag) == 2 and tag[0] == "h" and tag[1].isdigit()), float(tag == "p"), float(b.at.in_article), float(c.around > 0), float(c.role > 0), float(c.named > 0), float(c.half_named > 0), float(c.well_named > 0)]
+
+
+def fit(x: np.ndarray, y: np.ndarray, most: float = CUE, decay: float = 0.5, steps: int = 25) -> np.ndarray:
+    """Weights of a logistic classifier by Newton's method, none over ``most``: one that would be is held there while the rest are fitted again."""
+    w = np.zeros(x.shape[1])
+    free = np.ones(len(w), bool)
+    while True:
+        some = x[:, free]
+        for _ in range(steps):
+            p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+            h = (some.T * (p * (1 - p))) @ some + decay * np.eye(some.shape[1])
+            w[free] -= np.linalg.solve(h, some.T @ (p - y) + decay * w[free])
+        over = free & (np.abs(w) > most)
+        if not over.any():
+            return w
+        w[over] = np.sign(w[over]) * most
+        free &= ~over
+
+
+@functools.cache
+def weights() -> tuple[float, ...]:
+    """The classifier, fitted once a process to the labelled sample."""
+    from .page_sample import labelled_pages
+
+    x, y = [], []
+    for page, label in labelled_pages():
+        for b in blocks(page):
+            x.append(features(b))
+            y.append(label(b.text))
+    return tuple(fit(np.array(x), np.array(y, float)).tolist())
+
+
+def log_odds(b: Block, w: tuple[float, ...]) -> float:
+    """A block's capacity: to the source if positive, to the sink if negative."""
+    return sum(a * f for a, f in zip(w, features(b), strict=True))
 
 
 def distance(a: Node, b: Node) -> int:
@@ -206,7 +277,7 @@ def edges(found: list[Block]) -> list[tuple[int, int, float]]:
     last: dict[int, int] = {}
     for i, b in enumerate(found):
         if i:
-            out.append((i - 1, i, SMOOTH * 2.0 ** (2 - distance(found[i - 1].at, b.at))))
+            out.append((i - 1, i, STRONGEST * 0.5 ** (distance(found[i - 1].at, b.at) + 2 * (found[i - 1].at.tag != b.at.tag))))
         key = id(b.at.parent if b.at.parent is not None else b.at)
         if (j := last.get(key)) is not None and j != i - 1:
             out.append((j, i, SIBLING))
@@ -290,12 +361,13 @@ def _flow(weights: list[float], links: list[tuple[int, int, float]]) -> list[boo
             cap[e ^ 1] += flow
 
 
-def main_text(page: str) -> str:
+def main_text(page: str, w: tuple[float, ...] | None = None) -> str:
     """The content blocks of a page, joined by line ends."""
     found = blocks(page)
     if not found:
         return ""
-    keep = min_cut([b.weight for b in found], edges(found))
+    w = w or weights()
+    keep = min_cut([log_odds(b, w) for b in found], edges(found))
     return "\n".join(b.text for b, k in zip(found, keep, strict=True) if k)
 
 
@@ -310,9 +382,11 @@ def extract(pages: DataFrame) -> DataFrame:
     read; an empty table gives no rows.
     """
 
+    fitted = weights()
+
     def make():
         def work(_: pa.RecordBatch, texts: list[bytes]) -> list:
-            return [[main_text(x.decode("utf-8", "replace")) for x in texts]]
+            return [[main_text(x.decode("utf-8", "replace"), fitted) for x in texts]]
 
         return work
 
