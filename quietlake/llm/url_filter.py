@@ -1,22 +1,33 @@
 """URL filter: host and path rules first, then a weighted vocabulary found by Aho-Corasick.
 
-The vocabulary is a short list of this module; a caller may pass another.
+The vocabulary is a versioned table, ``url_terms.tsv``, of strict and soft terms in several
+languages with their weights; a caller may pass another.
 """
 
 from __future__ import annotations
 
+import csv
+import functools
+from pathlib import Path
+
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from . import common
 
-#: One of these rejects a URL.
-STRICT = ("casino", "porn", "xxx", "viagra", "cialis", "cheap-pills", "spam-farm", "sexcam", "hentai", "escort", "warez", "payday-loan")
-#: Several different ones of these reject it.
-SOFT = ("adult", "bet", "bonus", "cheap", "click", "deal", "free", "gambling", "loan", "pills", "poker", "promo", "sex", "spam", "torrent", "win")
+#: So many different soft terms reject a URL, if their weights come to as much; a strict one always does.
 SOFT_HITS = 2
 
+
+@functools.cache
+def terms() -> tuple[tuple[str, str, float], ...]:
+    """Term, kind (strict or soft) and weight, from the table. Read by the driver alone."""
+    with Path(__file__).with_name("url_terms.tsv").open(newline="") as f:
+        rows = csv.DictReader((x for x in f if not x.startswith("#")), delimiter="\t")
+        return tuple((r["term"], r["kind"], float(r["weight"])) for r in rows)
+
+
 #: (verdict, rule); a rule is a host and the start of a path.
 RULES = (("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/"))
 
@@ -47,28 +58,38 @@ def rule_for(host: str, path: str, rules=RULES) -> tuple[str, str] | None:
 class Vocabulary:
     """Strict and soft terms, found where no letter or digit touches them."""
 
-    def __init__(self, strict=STRICT, soft=SOFT, soft_hits: int = SOFT_HITS) -> None:
+    def __init__(self, of: tuple[tuple[str, str, float], ...], soft_hits: int = SOFT_HITS) -> None:
         import ahocorasick
 
         self.soft_hits = soft_hits
         self.automaton = ahocorasick.Automaton()
-        for term in (*soft, *strict):
-            self.automaton.add_word(term, (term, term in strict))
-        self.automaton.make_automaton()
-
-    def hits(self, url: str) -> tuple[set[str], set[str]]:
-        line = url.encode().translate(common.LOWER).decode()
-        strict, soft = set(), set()
-        for end, (term, is_strict) in self.automaton.iter(line):
+        for term, kind, weight in of:
+            self.automaton.add_word(term, (term, kind, weight))
+        if of:
+            self.automaton.make_automaton()
+        self.empty = not of
+
+    def hits(self, url: str) -> tuple[set[str], dict[str, float]]:
+        """The different strict terms, and the soft ones with their weights."""
+        strict, soft = set(), {}
+        if self.empty:
+            return strict, soft
+        line = url.encode("utf-8", "replace").translate(common.LOWER).decode()
+        for end, (term, kind, weight) in self.automaton.iter(line):
             start = end + 1 - len(term)
             before, after = line[start - 1 : start] if start else "", line[end + 1 : end + 2]
-            if not (_alnum(before) or _alnum(after)):
-                (strict if is_strict else soft).add(term)
+            if _alnum(before) or _alnum(after):
+                continue
+            if kind == "strict":
+                strict.add(term)
+            else:
+                soft[term] = weight
         return strict, soft
 
-    def rejects(self, url: str) -> bool:
+    def judged(self, url: str) -> tuple[bool, int, int]:
+        """Whether the URL is rejected, and its numbers of strict and soft hits."""
         strict, soft = self.hits(url)
-        return bool(strict) or len(soft) >= self.soft_hits
+        return bool(strict) or len(soft) >= self.soft_hits and sum(soft.values()) >= self.soft_hits, len(strict), len(soft)
 
 
 def _alnum(c: str) -> bool:
@@ -78,7 +99,7 @@ def _alnum(c: str) -> bool:
 NEW = [T.StructField("host", T.StringType(), False), T.StructField("path", T.StringType(), False), T.StructField("rule", T.StringType()), T.StructField("verdict", T.StringType(), False), T.StructField("strict_hits", T.IntegerType(), False), T.StructField("soft_hits", T.IntegerType(), False)]
 
 
-def judge_urls(pages: DataFrame, rules=RULES, strict=STRICT, soft=SOFT, soft_hits: int = SOFT_HITS) -> DataFrame:
+def judge_urls(pages: DataFrame, rules=RULES, vocabulary: tuple[tuple[str, str, float], ...] | None = None, soft_hits: int = SOFT_HITS) -> DataFrame:
     """``pages(page_id, url)`` with host, path, rule, verdict, strict_hits and soft_hits.
 
     A null or empty URL, or one without ``://``, has empty host and path; no rule fits it and
@@ -86,8 +107,10 @@ def judge_urls(pages: DataFrame, rules=RULES, strict=STRICT, soft=SOFT, soft_hit
     Only the two columns are read; an empty table gives no rows.
     """
 
+    listed = terms() if vocabulary is None else vocabulary
+
     def make():
-        vocabulary = Vocabulary(strict, soft, soft_hits)
+        found = Vocabulary(listed, soft_hits)
 
         def work(_: pa.RecordBatch, urls: list[bytes]) -> list:
             out: list[list] = [[] for _ in NEW]
@@ -95,9 +118,9 @@ def judge_urls(pages: DataFrame, rules=RULES, strict=STRICT, soft=SOFT, soft_hit
                 url = raw.decode("utf-8", "replace")
                 host, path = host_path(url)
                 rule = rule_for(host, path, rules)
-                a, b = vocabulary.hits(url)
-                verdict = rule[0] if rule else "block" if a or len(b) >= soft_hits else "allow"
-                for to, x in zip(out, (host, path, rule and rule[1], verdict, len(a), len(b)), strict=True):
+                rejected, a, b = found.judged(url)
+                verdict = rule[0] if rule else "block" if rejected else "allow"
+                for to, x in zip(out, (host, path, rule and rule[1], verdict, a, b), strict=True):
                     to.append(x)
             return out
 
@@ -107,7 +130,9 @@ def judge_urls(pages: DataFrame, rules=RULES, strict=STRICT, soft=SOFT, soft_hit
 
 
 def sql() -> str:
-    """The same verdicts in SQL, from the lists above."""
+    """The same verdicts in SQL, from the rules and the table above."""
+    strict = [t for t, kind, _ in terms() if kind == "strict"]
+    soft = [(t, w) for t, kind, w in terms() if kind == "soft"]
     low = "translate(coalesce(url, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
     found = lambda t: f"regexp_matches({low}, '(^|[^a-z0-9]){t}([^a-z0-9]|$)')::INT"
     fits = lambda r: f"(host = '{r.partition('/')[0]}' OR ends_with(host, '.{r.partition('/')[0]}')) AND starts_with(path, '/{r.partition('/')[2]}')"
@@ -116,8 +141,9 @@ def sql() -> str:
 WITH p AS (SELECT page_id, url, CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
 h AS (SELECT page_id, url, regexp_extract(rest, '^[^/?#]*') AS host0, regexp_extract(regexp_replace(rest, '^[^/?#]*', ''), '^[^?#]*') AS path FROM p),
 g AS (SELECT page_id, url, translate(host0, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, path,
-      {' + '.join(map(found, STRICT))} AS strict_hits, {' + '.join(map(found, SOFT))} AS soft_hits FROM h)
+      {' + '.join(map(found, strict))} AS strict_hits, {' + '.join(found(t) for t, _ in soft)} AS soft_hits,
+      {' + '.join(f"{w} * {found(t)}" for t, w in soft)} AS soft_weight FROM h)
 SELECT page_id, host, path, CASE {' '.join(f"WHEN {fits(r)} THEN '{r}'" for _, r in longest)} END AS rule,
-       CASE {' '.join(f"WHEN {fits(r)} THEN '{v}'" for v, r in longest)} WHEN strict_hits > 0 OR soft_hits >= {SOFT_HITS} THEN 'block' ELSE 'allow' END AS verdict,
+       CASE {' '.join(f"WHEN {fits(r)} THEN '{v}'" for v, r in longest)} WHEN strict_hits > 0 OR soft_hits >= {SOFT_HITS} AND soft_weight >= {SOFT_HITS} THEN 'block' ELSE 'allow' END AS verdict,
        strict_hits::INT AS strict_hits, soft_hits::INT AS soft_hits
 FROM g"""
