@@ -185,11 +185,12 @@ def _maker(model):
 def identify(docs: DataFrame, model: Model) -> DataFrame:
     """``docs(doc_id, text)`` with lang_pred, score and bits_per_byte. Null is as empty: ``und``, score 0.
 
-    Only these columns are read; repeated rows give equal results; an empty table gives no rows.
+    Only these columns are read; repeated rows give equal results; an empty table gives no rows. A
+    null id is carried through, and in the query neither held out nor learnt from.
     """
-    return common.map_text(docs.select("doc_id", "text"), "text", _maker(docs.sparkSession.sparkContext.broadcast(model)), NEW).drop("text")
+    return common.map_text(docs.select("doc_id", "text"), "text", _maker(common.broadcast(docs.sparkSession, model)), NEW).drop("text")
 
 
 def accepted(docs: DataFrame, model: Model) -> DataFrame:
     """The rows of ``docs`` in one of the model's languages, all columns: not ``und``, and coded shorter than they are."""
-    return common.keep_rows(docs, "text", _maker(docs.sparkSession.sparkContext.broadcast(model)), NEW, f"lang_pred <> '{UNKNOWN}' AND bits_per_byte < {REJECT_BITS}")
+    return common.keep_rows(docs, "text", _maker(common.broadcast(docs.sparkSession, model)), NEW, f"lang_pred <> '{UNKNOWN}' AND bits_per_byte < {REJECT_BITS}")

@@ -26,8 +26,9 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.table(spark, sf_dir, "documents")
-    held = langid.crc_class(4) == 2
-    found = langid.identify(docs, langid.train(docs.filter(~held)))
+    held = F.coalesce(langid.crc_class(4) == 2, F.lit(False))
+    known = F.col("doc_id").isNotNull()
+    found = langid.identify(docs, langid.train(docs.filter(known & ~held)))
     return found.select("doc_id", held.alias("held_out"), "lang_pred", "score", "bits_per_byte")
 
 
@@ -40,7 +41,7 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs, held = common.table(spark, sf_dir, "documents"), langid.crc_class(5) == 0
+    docs, held = common.table(spark, sf_dir, "documents"), F.coalesce(langid.crc_class(5) == 0, F.lit(False))
     model = toxicity.train(docs, common.table(spark, sf_dir, "labels").filter(~held))
     return toxicity.score_toxicity(docs, model).select("doc_id", held.alias("held_out"), "score", "predicted")
 

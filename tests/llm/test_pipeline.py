@@ -10,6 +10,7 @@ from tokenizers import Tokenizer
 import corpus_pipeline
 from quietlake.llm import common, decontam, mixing
 
+from .helpers import awkward, frame
 from .test_near_dup import brute
 from .test_small_operators import brute_hits
 
@@ -51,3 +52,35 @@ def test_entry_lists_them():
 
     q = e.queries()
     assert "pipeline" in q and all(any(n.startswith(f"op{k}_") for n in q) for k in range(1, 11))
+
+
+def tables(spark, path, rows, items):
+    frame(spark, rows, clash=True).write.parquet(f"{path}/documents.parquet")
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{path}/benchmark.parquet")
+    return str(path)
+
+
+def test_run_on_awkward_rows(spark, tmp_path):
+    """Nulls in every column, empty and very long texts, ties, repeated rows, clashing names."""
+    words = [f"word{i}" for i in range(40)]
+    rows = awkward([(50, " ".join(words)), (51, " ".join([*words[:-1], "other"])), (52, "clean text that is about nothing but itself"), (53, "here is one two three four five six seven eight nine ten eleven")])
+    items = [(1, "one two three four five six seven eight nine ten eleven"), (None, None), (2, ""), (None, "l'été dernier encore")]
+    got = corpus_pipeline.run(spark, tables(spark, tmp_path, rows, items)).collect()
+    ids = {r["doc_id"] for r in got}
+    # 1 to 3 have no letters; 6 is 5's copy, 51 near to 50; 53 and 7 hold items
+    assert ids <= {4, 5, 50, 52, None} and {4, 50} & ids
+    assert [r["start"] for r in sorted(got, key=lambda r: r["start"])] == [sum(x["n_tokens"] for x in got if x["start"] < r["start"]) for r in sorted(got, key=lambda r: r["start"])]
+
+
+def test_run_on_empty_tables(spark, tmp_path):
+    assert corpus_pipeline.run(spark, tables(spark, tmp_path, [], [])).count() == 0
+
+
+def test_run_leaves_no_scratch(spark, tmp_path, monkeypatch):
+    made, gone = [], []
+    monkeypatch.setattr(common, "delete", lambda spark, path, f=common.delete: (gone.append(path), f(spark, path)))
+    monkeypatch.setattr(common, "fresh_path", lambda spark, name, keep=False, f=common.fresh_path: made.append(f(spark, name, keep)) or made[-1])
+    monkeypatch.setattr(corpus_pipeline, "STAGES", corpus_pipeline.STAGES[2:])
+    corpus_pipeline.run(spark, tables(spark, tmp_path, [(1, "one text", "en", "a"), (2, "another text", "en", "b")], [(1, "x y")])).count()
+    left = {p.rsplit("/", 1)[-1].rsplit("-", 1)[0] for p in set(made) - set(gone)}
+    assert left == {"automaton", "tokens", "pipeline-token_output"}
