@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .functions import redact
-from .functions.flatten import html_text
+from .functions.flatten import DROPPED, LINE_TAGS, html_text
 from .functions.lines import LINE_END, lines
 from .operators import audit, cellscan, profile, suppress
 from .operators.broker import Broker
@@ -544,13 +544,54 @@ def eml_scrub(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", F.length("m.message").cast("long").alias("n_bytes"), F.coalesce(F.element_at("m.identifiers", "RECORD_NUMBER"), F.lit(0)).alias("record_numbers"), F.element_at("m.dropped_headers", "x-id").alias("dropped_x_id"))
 
 
+#: What is put behind every third text of the messages.
+LETTER = "\nDear Mr. Quist, born on 2 May 1971, of 12 Juniper Lane, Salem OR 97301.\n"
+
+
+def mail_identifiers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What scrubbing finds in the planted documents as messages, by kind."""
+    head = "From: Ann Roe <ann@example.org>\r\nTo: desk@example.com\r\nSubject: ticket MRN 1234567\r\nContent-Type: text/plain; charset=utf-8\r\n\r\n"
+    text = F.concat(F.lit(head), "text", F.when(F.pmod("doc_id", F.lit(3)) == 0, F.lit(LETTER)).otherwise(F.lit("")))
+    got = planted(spark, sf_dir).select("doc_id", scrub_mail(F.encode(text, "UTF-8")).alias("m"))
+    return got.select("doc_id", *[F.coalesce(F.element_at("m.identifiers", k), F.lit(0)).alias(k.lower()) for k in MAIL_KINDS])
+
+
+MAIL_KINDS = (*[k for k, _ in redact.EMAIL_PATTERNS], *redact.KINDS)
+
+
+def _mail_sql() -> str:
+    """The e-mail patterns on the whole text, the others on what they leave; two addresses and a number are in the headers."""
+    chain = [(k, p, rf"\1<REDACTED:{k}>") for k, p in redact.EMAIL_PATTERNS] + [(k, p, r) for (k, _), (p, r) in zip(redact.PATTERNS, _SQL_CHAIN, strict=True)]
+    steps = [f"t0 AS (SELECT doc_id, text || CASE WHEN doc_id % 3 = 0 THEN {_q(LETTER)} ELSE '' END AS t FROM ({_planted_sql()}))"]
+    for i, (_, p, r) in enumerate(chain):
+        own = "".join(f", n{j}" for j in range(i))
+        steps.append(f"t{i + 1} AS MATERIALIZED (SELECT doc_id, regexp_replace(t, {_q(p)}, {_q(r)}, 'g') AS t{own}, len(regexp_extract_all(t, {_q(p)})) AS n{i} FROM t{i})")
+    more = {"EMAIL_ADDRESS": " + 2", "RECORD_NUMBER": " + 1"}
+    cells = [f"({' + '.join(f'n{i}' for i, (x, *_) in enumerate(chain) if x == k)}{more.get(k, '')})::BIGINT AS {k.lower()}" for k in MAIL_KINDS]
+    return f"WITH {', '.join(steps)} SELECT doc_id, {', '.join(cells)} FROM t{len(chain)}"
+
+
+def _html_sql() -> str:
+    """Comments, then elements that go whole, then tags that end a line, then all others, then character references, then gaps."""
+    t = r"regexp_replace(html, '(?s)<!--.*?(?:-->|\z)|<![^>]*>|<\?[^>]*>', '', 'g')"
+    for tag in DROPPED:
+        t = rf"regexp_replace({t}, '(?is)<{tag}\b[^>]*>.*?(?:</{tag}\s*>|\z)', '', 'g')"
+    t = rf"regexp_replace({t}, '(?i)</?(?:{'|'.join(LINE_TAGS)})(?:[\s/][^>]*)?>', chr(10), 'g')"
+    t = rf"regexp_replace({t}, {_q(chr(60) + '/?[A-Za-z](?:[^>' + chr(34) + chr(39) + ']|' + chr(34) + '[^' + chr(34) + ']*' + chr(34) + '|' + chr(39) + '[^' + chr(39) + ']*' + chr(39) + ')*>')}, '', 'g')"
+    for name, x in (("&copy;", "©"), ("&middot;", "·"), ("&quot;", '"')):
+        t = f"replace({t}, '{name}', '{x}')"
+    t = f"regexp_replace({t}, '&amp;?', '&', 'g')"
+    t = rf"regexp_replace({t}, '\n[ \t]*\n(?:[ \t]*\n)+', chr(10) || chr(10), 'g')"
+    return rf"SELECT page_id, regexp_replace({t}, '^\s+|\s+$', '', 'g') || chr(10) AS text FROM pages"
+
+
 def _values(rows: list[tuple], names: str) -> str:
     cell = lambda x: _q(x) if isinstance(x, str) else str(x).upper() if isinstance(x, bool) else f"{x}::INT"
     return f"SELECT * FROM (VALUES {', '.join('(' + ', '.join(map(cell, r)) + ')' for r in rows)}) t({names})"
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (kanon_docs_lang_source, kanon_customer_nation_segment, kanon_marginal, refuse_supplier_nation, broker_outcomes, broker_entities, broker_controls, manifest_index, gate_corpus, classify_relations, column_screen, metadata_search, policy_draft, profile_stats, person_keys, redact_documents, redact_pages, redact_counts_by_kind, token_shapes, redact_planted, person_key_gate, scan_markers, day_precision_dates, line_scan_documents, line_counts, credential_scan, html_to_text_pages, cell_report, audit_chain_verify, eml_scrub)
+    own = (kanon_docs_lang_source, kanon_customer_nation_segment, kanon_marginal, refuse_supplier_nation, broker_outcomes, broker_entities, broker_controls, manifest_index, gate_corpus, classify_relations, column_screen, metadata_search, policy_draft, profile_stats, person_keys, redact_documents, redact_pages, redact_counts_by_kind, token_shapes, redact_planted, person_key_gate, scan_markers, day_precision_dates, line_scan_documents, line_counts, credential_scan, html_to_text_pages, cell_report, audit_chain_verify, eml_scrub, mail_identifiers)
     return {name: governed(sql) for name, (sql, _) in GOVERNED.items()} | {f.__name__: f for f in own}
 
 
@@ -588,6 +629,8 @@ def oracle_sql() -> dict[str, str]:
         "token_shapes": f"SELECT kind, hits FROM ({_kinds_sql(((chr(112), 'text', '(' + _planted_sql() + ')'),))})",
         "redact_planted": f"SELECT doc_id, {sql_redact('text')} AS text FROM ({_planted_sql()})",
         "person_key_gate": f"SELECT relation, \"column\", row_count > 0 AND distinct_count >= 0.5 * row_count AS person_key FROM ({_profile_sql()})",
+        "html_to_text_pages": _html_sql(),
+        "mail_identifiers": _mail_sql(),
         "cell_report": _CELL_SQL.format(_kinds_sql()),
         "audit_chain_verify": _AUDIT_SQL,
     }
