@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import tempfile
+import uuid
 from collections.abc import Callable
 from pathlib import Path
 
@@ -21,6 +22,7 @@ from .plans.policy import HARD_DENY, Policy, Settings
 from .plans.spread import spread
 from .sources import blobs, catalog
 from .sources.mail import scrub_mail
+from .streaming.governed import windowed_counts
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 
@@ -41,8 +43,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
+def make_visible(spark: SparkSession, sf_dir: str) -> None:
+    """The tables as views of the session, unless its views already read these files."""
+
+    def there(name: str) -> bool:
+        return spark.catalog.tableExists(name) and any(f"{sf_dir}/{name}.parquet" in f for f in spark.table(name).inputFiles()[:1])
+
+    if not all(map(there, TABLES)):
+        catalog.files(spark, sf_dir, TABLES)
+
+
 def broker(spark: SparkSession, sf_dir: str) -> Broker:
-    catalog.files(spark, sf_dir, TABLES)
+    make_visible(spark, sf_dir)
     return Broker(spark, POLICY, Settings())
 
 
@@ -166,7 +178,7 @@ ENTITY_CASES = ((False, False, 0), (False, True, 0), (True, False, 4), (True, Tr
 
 def broker_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Exit codes with and without a recogniser, and the cells in which it found something."""
-    catalog.files(spark, sf_dir, TABLES)
+    make_visible(spark, sf_dir)
     out, sql = [], "SELECT n_name FROM nation ORDER BY n_name"
     for required, given, _ in ENTITY_CASES:
         b = Broker(spark, POLICY, Settings(require_entity_scan=required), recogniser=starts_with_a if given else None)
@@ -183,7 +195,7 @@ def _entities_sql() -> str:
 
 def broker_controls(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What a run's log says of controls that changed since the run before."""
-    catalog.files(spark, sf_dir, TABLES)
+    make_visible(spark, sf_dir)
     other = Policy.of({**TABLE_POLICY, "count_columns": ["n"]})
     steps = ((POLICY, 11), (POLICY, 11), (other, 11), (other, 12), (POLICY, 11))
     with tempfile.TemporaryDirectory() as home:  # the log of a broker is the driver's own
@@ -537,6 +549,34 @@ v AS (SELECT user_id, line_no, prev = coalesce(sha256(lag(raw) OVER (PARTITION B
 SELECT user_id, count(*) AS n_lines, count_if(ok)::BIGINT AS n_ok, min(CASE WHEN NOT ok THEN line_no END)::INT AS first_bad FROM v GROUP BY user_id"""
 
 
+#: Width of the windows of the stream of events, and how late an event may be.
+STREAM_WIDTH, STREAM_LATE = "6 hours", "2 hours"
+
+
+def stream_window_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events as a stream: counts by closed window and type, k-anonymous, run until all that is there is read."""
+    home = f"{_shared(spark)}/quietlake-stream-{uuid.uuid4().hex}"
+    schema = spark.read.parquet(f"{sf_dir}/events.parquet").select("ts", "event_type").schema
+    stream = spark.readStream.schema(schema).parquet(f"{sf_dir}/events*.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
+    counts = windowed_counts(stream, "ts", ["event_type"], STREAM_WIDTH, STREAM_LATE)
+    counts.writeStream.format("parquet").option("path", f"{home}/out").option("checkpointLocation", f"{home}/checkpoint").outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(counts.schema).parquet(f"{home}/out")
+
+
+def _shared(spark: SparkSession) -> str:
+    """The folder that driver and executors share; only a local session may be without."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not found and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir isn't set")
+    return found or f"file://{tempfile.mkdtemp(prefix='quietlake-')}"
+
+
+_STREAM_SQL = """
+WITH w AS (SELECT time_bucket(INTERVAL '6 hours', ts, TIMESTAMP '1970-01-01') AS start, event_type, ts FROM events),
+c AS (SELECT start, event_type, count(*) AS n FROM w GROUP BY ALL HAVING start + INTERVAL '6 hours' <= date_trunc('milliseconds', (SELECT max(ts) FROM events)) - INTERVAL '2 hours')
+SELECT CASE WHEN n < 11 THEN '<11' ELSE strftime(start, '%Y-%m-%d %H:%M:%S') END AS window_start, CASE WHEN n < 11 THEN '<11' ELSE event_type END AS event_type, CASE WHEN n < 11 THEN '<11' ELSE n::VARCHAR END AS n FROM c"""
+
+
 def eml_scrub(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as messages, scrubbed."""
     head = F.concat(F.lit("From: Ann Roe <ann@example.org>\r\nTo: desk@example.com\r\nSubject: ticket MRN 1234567\r\nX-Id: 7\r\nContent-Type: text/plain; charset=utf-8\r\n\r\n"), F.coalesce("text", F.lit("")))
@@ -591,7 +631,7 @@ def _values(rows: list[tuple], names: str) -> str:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (kanon_docs_lang_source, kanon_customer_nation_segment, kanon_marginal, refuse_supplier_nation, broker_outcomes, broker_entities, broker_controls, manifest_index, gate_corpus, classify_relations, column_screen, metadata_search, policy_draft, profile_stats, person_keys, redact_documents, redact_pages, redact_counts_by_kind, token_shapes, redact_planted, person_key_gate, scan_markers, day_precision_dates, line_scan_documents, line_counts, credential_scan, html_to_text_pages, cell_report, audit_chain_verify, eml_scrub, mail_identifiers)
+    own = (kanon_docs_lang_source, kanon_customer_nation_segment, kanon_marginal, refuse_supplier_nation, broker_outcomes, broker_entities, broker_controls, manifest_index, gate_corpus, classify_relations, column_screen, metadata_search, policy_draft, profile_stats, person_keys, redact_documents, redact_pages, redact_counts_by_kind, token_shapes, redact_planted, person_key_gate, scan_markers, day_precision_dates, line_scan_documents, line_counts, credential_scan, html_to_text_pages, cell_report, audit_chain_verify, stream_window_counts, eml_scrub, mail_identifiers)
     return {name: governed(sql) for name, (sql, _) in GOVERNED.items()} | {f.__name__: f for f in own}
 
 
@@ -633,6 +673,7 @@ def oracle_sql() -> dict[str, str]:
         "mail_identifiers": _mail_sql(),
         "cell_report": _CELL_SQL.format(_kinds_sql()),
         "audit_chain_verify": _AUDIT_SQL,
+        "stream_window_counts": _STREAM_SQL,
     }
 
 
