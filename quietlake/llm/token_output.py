@@ -132,7 +132,10 @@ class WordEncoder:
             self._forget()
         words = Words([b"" if i in whole else x for i, x in enumerate(texts)])
         at, new = self.words.grow(words)
-        self._keep(self._ids(new))
+        if new:
+            self._keep(self._ids(new))
+        if self.n != self.words.n:
+            raise RuntimeError("the pool and the words differ")
         sizes = self.sizes[at]
         total = np.concatenate([[0], np.cumsum(sizes)])
         ids = self.pool[np.arange(total[-1]) + np.repeat(self.offsets[at] - total[:-1], sizes)]

@@ -87,7 +87,7 @@ def test_words_of_one_hash_keep_their_ids(monkeypatch, clash):
         monkeypatch.setattr(Words, "_hash", lambda self: self.sizes.astype(np.uint64))
     whole, enc = Tokenizer.from_file(PATH), token_output.WordEncoder(PATH)
     texts = [" ".join(x for n in (4, 16, 1024, 4096) for x in thue_morse(n)), "one two ten abc " * 3, "two one abc ten", "b a"]
-    for _ in range(2):
-        ids, n = enc.encode([t.encode() for t in texts], 1)
-        for t, got in zip(texts, np.split(ids, np.cumsum(n)[:-1]), strict=True):
+    for some in (texts[:2], texts[:2], [""], texts, ["three more words", *texts]):
+        ids, n = enc.encode([t.encode() for t in some], 1)
+        for t, got in zip(some, np.split(ids, np.cumsum(n)[:-1]), strict=True):
             assert got.tolist() == whole.encode(t, add_special_tokens=False).ids + [1]
