@@ -75,7 +75,7 @@ def scan_cells(df: DataFrame, list_hits: bool = False, recogniser: Recogniser |
             elif n:
                 report.kinds[kind] = report.kinds.get(kind, 0) + n
                 report.columns.setdefault(name, []).append(kind)
-    if texts and (list_hits or recogniser):
+    if texts and (recogniser or list_hits and report.kinds):
         _list(numbered, names, texts, report, recogniser, budget)
     out = [F.coalesce(F.col(f"_c{i}_text"), F.col(f"_{i}")).alias(f"_{i}") if i in texts else F.col(f"_{i}") for i in range(len(names))]
     return numbered.select(*out).toDF(*names), report
