@@ -165,7 +165,8 @@ def common_shingles(docs: DataFrame) -> np.ndarray:
                 fresh = []
                 for k, u in zip(identities(texts), sets(texts), strict=True):
                     if len(u) and k not in seen:
-                        seen.add(k)
+                        if len(seen) < SEEN:
+                            seen.add(k)
                         fresh.append(u)
                 if not fresh:
                     continue
