@@ -83,6 +83,9 @@ class Matcher:
             made += len(fresh)
             self.levels.append(made - 1)
         self.table = Table(np.concatenate(keys))
+        # where each word leads from the beginning, which is asked most often
+        self.first = np.zeros(max(1, self.words.n), np.int32)
+        self.first[keys[0].astype(np.int64)] = np.arange(1, len(keys[0]) + 1)
         self.ends = at
         self.empty = made == 1
 
@@ -107,11 +110,13 @@ class Matcher:
         left = np.flatnonzero(word >= 0)
         at, word = state[left].astype(np.int64), word[left]
         while len(left):
+            begin = at == 0
+            out[left[begin]] = self.first[word[begin]]
+            left, at, word = left[~begin], at[~begin], word[~begin]
             to = self.table.find(_key(at, word))
             hit = to >= 0
             out[left[hit]] = to[hit] + 1
-            more = ~hit & (at > 0)
-            left, at, word = left[more], self.fail[at[more]].astype(np.int64), word[more]
+            left, at, word = left[~hit], self.fail[at[~hit]].astype(np.int64), word[~hit]
         return out
 
     def scan(self, w: Words) -> np.ndarray:
@@ -151,14 +156,14 @@ class Matcher:
         return out
 
     def arrays(self) -> dict[str, np.ndarray]:
-        own = {k: getattr(self, k) for k in ("fail", "longest", "shorter", "names", "owned", "owner_first", "owners")}
+        own = {k: getattr(self, k) for k in ("first", "fail", "longest", "shorter", "names", "owned", "owner_first", "owners")}
         return own | {"size": np.array([self.size]), "goto_keys": self.table.keys[: self.table.n], "goto_slots": self.table.slots} | {f"word_{k}": v for k, v in self.words.arrays().items()}
 
     @classmethod
     def of(cls, arrays: dict[str, np.ndarray]) -> Matcher:
         out = cls.__new__(cls)
         out.size = int(arrays["size"][0])
-        for k in ("fail", "longest", "shorter", "names", "owned", "owner_first", "owners"):
+        for k in ("first", "fail", "longest", "shorter", "names", "owned", "owner_first", "owners"):
             setattr(out, k, arrays[k])
         out.table = Table.of(arrays["goto_keys"], arrays["goto_slots"])
         out.words = Vocabulary.of({k.removeprefix("word_"): v for k, v in arrays.items() if k.startswith("word_")})
