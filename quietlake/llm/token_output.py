@@ -24,7 +24,7 @@ from . import common
 from .wordhash import Vocabulary, Words
 
 #: Words whose ids a worker remembers.
-CACHE_WORDS = 100_000
+CACHE_WORDS = 400_000
 END_ID = 1
 ROW_GROUP_BYTES = 32 << 20
 PAGE_BYTES = 256 << 10
