@@ -6,6 +6,9 @@ result. All run in the JVM.
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -43,6 +46,50 @@ def java(pattern: str) -> str:
     return pattern.replace("(?i)", "(?iU)", 1) if pattern.startswith("(?i)") else f"(?U){pattern}"
 
 
+_RE2_CLASS = {"d": "0-9", "w": "0-9A-Za-z_", "s": r"\t\n\f\r "}
+_RE2_BOUNDARY = "(?:(?<=[0-9A-Za-z_])(?![0-9A-Za-z_])|(?<![0-9A-Za-z_])(?=[0-9A-Za-z_]))"
+#: What RE2's (?i) takes for a letter besides its other case.
+_RE2_FOLDS = {"s": "\u017f", "k": "\u212a"}
+
+
+def re2(pattern: str) -> str:
+    r"""The pattern with RE2's meaning in Java: \w, \d, \s and \b of ASCII alone, whole ends, folds of s and k.
+
+    For the syntax that the patterns of this module use.
+    """
+    fold = pattern.startswith("(?i)")
+    out, inside = ["(?i)" if fold else ""], False
+    for part in re.findall(r"\\.|\(\?:|\[\^?|.", pattern.removeprefix("(?i)"), re.DOTALL):
+        if part[0] == "\\" and part[1] in _RE2_CLASS:
+            more = "".join(_RE2_FOLDS.values()) if fold and part[1] == "w" else ""
+            out.append(_RE2_CLASS[part[1]] + more if inside else f"[{_RE2_CLASS[part[1]]}{more}]")
+        elif part == r"\b":
+            out.append(_RE2_BOUNDARY)
+        elif inside:
+            inside = part != "]"
+            # the end of a range of letters
+            out.append(part + "".join(_RE2_FOLDS.values()) if fold and part in "zZ" and out[-1] == "-" else part)
+        elif part[0] == "[":
+            inside = True
+            out.append(part)
+        elif part in "^$":
+            out.append({"^": r"\A", "$": r"\z"}[part])
+        else:
+            out.append(f"[{part}{_RE2_FOLDS[part.lower()]}]" if fold and part.lower() in _RE2_FOLDS else part)
+    return "".join(out)
+
+
+def redact_steps(df: DataFrame, column: str, chain: Iterable[tuple[str, str, str]]) -> DataFrame:
+    """``df`` with the column after a chain of patterns and replacements, both of Java; null stays null.
+
+    A projection for each step, as in :func:`staged`; each step names first what a text must have for a hit.
+    """
+    for needed, pattern, replacement in chain:
+        t = F.col(column)
+        df = df.withColumn(column, F.when(t.rlike(needed), F.regexp_replace(t, F.lit(pattern), F.lit(replacement))).otherwise(t))
+    return df
+
+
 def redact(text: Column) -> Column:
     """The text with each hit replaced by its kind's label; null stays null."""
     for kind, pattern in PATTERNS:

@@ -1,11 +1,13 @@
 import random
 import re
 
+import duckdb
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from quietlake import queries
 from quietlake.functions import redact
 from quietlake.functions.flatten import html_text, html_to_text
 from quietlake.functions.globs import Globs, to_regex
@@ -138,3 +140,28 @@ def test_lines_as_python_splits(spark, text):
     df = spark.createDataFrame([(1, text)], "k int, text string")
     got = [r["line"] for r in lines(df, "text", "k").orderBy("line_no").collect()]
     assert got == text.splitlines()
+
+
+def sql_texts():
+    """Texts that the SQL's dialect takes otherwise than Python: neighbours of hits, ASCII words, folds, line ends."""
+    phone, ssn, gap = f"{_digits(3)}-555-{_digits(4)}", _digits(9), "x" * 17
+    return [
+        f"{phone} {phone}", f"{phone}\n{phone}\n", f"({phone[:3]}) {phone[4:]} ({phone[:3]}) {phone[4:]}", f"{ssn} {ssn} ssn", f"{ssn} ssn {ssn} ssn", f"{ssn} {gap} ssn", f"{ssn} {gap}y ssn",
+        f"\u00e9{phone[:3]}-12-{_digits(4)}", "n. \u0661\u0662\u0663-\u0664\u0665-\u0666\u0667\u0668\u0669", "\u00e0 \u00e9lodie@caf\u00e9.fr or elodie@cafe.fr", f"account\x0bno {ssn}", f"acct \u00e9 {ssn}", f"to\u212aen: {_letters(20)}", f"ap\u0131key: {_letters(20)}", f"secret: {_letters(8)}\u017f{_letters(8)}", "", None,
+    ]
+
+
+def same_as_sql(spark, tmp_path, name, table, columns, rows):
+    """The query on a table of these rows is its SQL."""
+    df = spark.createDataFrame(rows, columns)
+    df.coalesce(1).write.parquet(f"{tmp_path}/{table}.parquet")
+    key, text = df.columns[0], df.columns[-1]
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{tmp_path}/{table}.parquet/*.parquet'")
+    want = dict(con.execute(f"SELECT {key}, {text} FROM ({queries.oracle_sql()[name]})").fetchall())
+    got = {r[key]: r[text] for r in queries.queries()[name](spark, str(tmp_path)).collect()}
+    assert got == want and len(want) == len(rows)
+
+
+def test_redact_documents_is_its_sql_on_odd_texts(spark, tmp_path):
+    same_as_sql(spark, tmp_path, "redact_documents", "documents", "doc_id long, text string", list(enumerate(sql_texts())))
