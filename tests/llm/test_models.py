@@ -7,6 +7,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -130,6 +131,28 @@ def test_toxicity_edges(spark):
     assert toxicity.score_toxicity(frame(spark, []), none).count() == 0
 
 
+def test_toxicity_learns_from_every_labelled_text(spark, monkeypatch):
+    """Texts over any length too, in several shards; counts are those of all labels, and reruns agree."""
+    monkeypatch.setattr(toxicity, "SHARD_WORDS", 150_000)
+    rng = random.Random(8)
+    rows = [(i, " ".join(["awful" if i % 3 == 0 and k == 900 else f"word{rng.randrange(300)}" for k in range(3000 + 3 * i)]), "en") for i in range(120)]
+    assert min(len(r[1]) for r in rows) > 20_000
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(120)], "doc_id long, toxic int")
+    first, again = toxicity.train(df, labels), toxicity.train(df, labels)
+    assert first.mean == 40 / 120 and (first.gather == again.gather).all() and (first.thresholds == again.thresholds).all()
+    got = toxicity.score_toxicity(df, first).collect()
+    assert len(got) == 120 and sum(r["predicted"] == (r["doc_id"] % 3 == 0) for r in got) >= 115
+
+
+def test_word_counts_are_of_all_texts():
+    texts = ["a b a", "b \u00e9", "", None, "c a"]
+    batch = pa.RecordBatch.from_arrays([pa.array(texts), pa.array([1, 0, 1, 0, 1]), pa.array(["en", "fr", "en", None, "en"])], names=["text", "y", "lang"])
+    got = {(r["bucket"], r["lang"]): (r["seen"], r["hit"], r["words"]) for part in toxicity.count_words(iter([batch])) for r in part.to_pylist()}
+    a, b, e, c = (int(toxicity.buckets([w.encode()])[0][0]) for w in ("a", "b", "\u00e9", "c"))
+    assert got == {(a, "en"): (2, 2, 3), (b, "en"): (1, 1, 1), (b, "fr"): (1, 0, 1), (e, "fr"): (1, 0, 1), (c, "en"): (1, 1, 1), (-1, "en"): (3, 3, 5), (-1, "fr"): (1, 0, 2), (-1, None): (1, 0, 0)}
+
+
 def test_thresholds():
     z, y = np.array([3.0, 2.0, 2.0, 1.0]), np.array([True, True, False, False])
     assert 1 < toxicity.best_threshold(z, y) < 2 and toxicity.best_threshold(z[:0], y[:0]) == 0.0
